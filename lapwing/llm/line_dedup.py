@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join. DataFrame functions only.
 
-A line is compared in normal form: lower case, runs of white space as one space, no white space at the ends.
+A line is compared in normal form: lower case, no white space at the ends.
 Its place is (doc_id, line number); a null doc_id comes last. Rows that share a doc_id count as one document.
 
 * Lines whose normal form has under ``min_chars`` characters always stay (headings, list marks, blanks).
@@ -25,27 +25,29 @@ from pyspark.sql import functions as F
 
 from lapwing.llm.common import MAX_LONG, cut, text_of
 
-MAX_BLOCK = 2048
+WINDOW = 1024
+WHITE = " \t\r\x0b\x0c\xa0"
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s ]+", " "))
+    return F.trim(F.lower(line), F.lit(WHITE))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """d, n, line, h1, h2 of every line that takes part; h1 and h2 together identify the normal form."""
     return (
         docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)).alias("d"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("n", "raw"))
-        .select("d", F.col("n").cast("long").alias("n"), normal_line(F.col("raw")).alias("line"))
+        .select("d", "n", normal_line(F.col("raw")).alias("line"))
         .where(F.length("line") >= min_chars)
         .select("d", "n", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("b"), "line").alias("h2"))
     )
 
 
-def _block(length: Column, windows: int) -> Column:
-    """Block size for a length: the length has from windows to 2 * windows blocks, more beyond MAX_BLOCK."""
-    power = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double") + 0.5)))
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(power / windows).cast("int")))
+def _layout(length: Column, windows: int) -> tuple[Column, Column]:
+    """Number of windows for a length, and the block by which each starts after the one before. Nearby lengths share a layout mostly."""
+    count = F.when(length <= windows * WINDOW, F.lit(windows)).otherwise(F.ceil(length / WINDOW)).cast("int")
+    grain = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(length + F.lit(0.5))) - 3 - windows.bit_length()).cast("int"))
+    return count, (grain * F.floor(length / (count * grain))).cast("int")
 
 
 def _windows(rows: DataFrame, windows: int) -> DataFrame:
@@ -54,40 +56,41 @@ def _windows(rows: DataFrame, windows: int) -> DataFrame:
     Lengths differ by one at most in a pair, so a text is also laid out as the text that is one shorter, where that differs.
     """
     size = F.length("text")
-    own, less = _block(size, windows), _block(size - 1, windows)
-    layouts = F.array_distinct(
-        F.array(F.struct(own.alias("b"), F.floor(size / own).cast("int").alias("j")), F.struct(less.alias("b"), F.greatest(F.lit(1), F.floor((size - 1) / less)).cast("int").alias("j")))
+    sized = rows.withColumn("size", size)
+    (c1, b1), (c2, b2) = _layout(F.col("size"), windows), _layout(F.col("size") - 1, windows)
+    laid = sized.select("*", c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"))
+    total = F.col("c1") + F.when((F.col("c1") != F.col("c2")) | (F.col("b1") != F.col("b2")), F.col("c2")).otherwise(0)
+    each = laid.select("*", F.explode(F.sequence(F.lit(0), total - 1)).alias("i"))
+    own = F.col("i") < F.col("c1")
+    each = each.select(
+        "key", "h1", "d", "n", "text", "size", F.when(own, F.col("c1")).otherwise(F.col("c2")).alias("c"), F.when(own, F.col("b1")).otherwise(F.col("b2")).alias("b"), F.when(own, F.col("i")).otherwise(F.col("i") - F.col("c1")).alias("q")
     )
-    laid = rows.withColumn("size", size).withColumn("layout", F.explode(layouts)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("layout.j") - 1)))
-    before = F.col("q") * F.col("layout.b")
-    after = (F.col("layout.j") - 1 - F.col("q")) * F.col("layout.b")
+    before, after = F.col("q") * F.col("b"), (F.col("c") - 1 - F.col("q")) * F.col("b")
     head, tail = F.substring(F.col("text"), F.lit(1), before), F.substring(F.col("text"), F.col("size") - after + 1, after)
     inside = F.substring(F.col("text"), before + 1, F.col("size") - before - after)
-    key = F.xxhash64("key", "layout.b", "layout.j", "q", head, tail)
-    return laid.select(key.alias("key"), "h1", "h2", "d", "n", inside.alias("text"))
+    return each.select(F.xxhash64("key", "c", "b", "q", head, tail).alias("key"), "h1", "d", "n", inside.alias("text"))
 
 
 def _sieve(rows: DataFrame, windows: int) -> DataFrame:
-    """Windows whose outside is shared by different lines, once for each line."""
+    """Windows whose outside is shared by different lines, once for each line, at its first place."""
     laid = _windows(rows, windows)
     shared = laid.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key")
-    return laid.join(shared, "key", "left_semi")
+    kept = laid.join(shared.hint("shuffle_hash"), "key", "left_semi")
+    return cut(kept.groupBy("key", "h1").agg(F.min(F.struct("d", "n", "text")).alias("m")).select("key", "h1", "m.*"), "line-windows")
 
 
 def near_matches(lines: DataFrame, near_min_chars: int = 20) -> DataFrame:
-    """h1, h2 of every distinct line that has an earlier line within one edit, with the place (d, n) of the earliest."""
-    rows = lines.where(F.length("line") >= near_min_chars).select(F.lit(0).cast("long").alias("key"), "h1", "h2", "d", "n", F.col("line").alias("text"))
-    first = _sieve(rows, 2).groupBy("key", "h1", "h2").agg(F.min(F.struct("d", "n", "text")).alias("m")).select("key", "h1", "h2", "m.*")
-    second = _sieve(cut(first, "line-windows"), 4)
-    kept = cut(second.groupBy("key", "h1", "h2").agg(F.min(F.struct("d", "n", "text")).alias("m")).select("key", "h1", "h2", "m.*"), "line-windows")
+    """The first place (d, n) of every distinct line that has an earlier line within one edit, with the place (near_d, near_n) of the earliest."""
+    rows = lines.where(F.length("line") >= near_min_chars).select(F.lit(0).cast("long").alias("key"), "h1", "d", "n", F.col("line").alias("text"))
+    kept = _sieve(_sieve(rows, 2), 4)
 
     text, size = F.col("text"), F.length("text")
     less = kept.where(size > 0).withColumn("i", F.explode(F.sequence(F.lit(1), size)))
     gone = F.concat(F.substring(text, F.lit(1), F.col("i") - 1), F.substring(text, F.col("i") + 1, size))
     less = less.withColumn("variant", F.xxhash64(gone))
-    whole = kept.withColumn("i", F.lit(0)).withColumn("variant", F.xxhash64(text))
-    # Equal variants at one place: substitutions. A variant that is a whole line: insertions and deletions.
-    member = F.struct("d", "n", "h1", "h2", "text")
+    whole = kept.withColumn("variant", F.xxhash64(text))
+    # Equal variants at one place: substitutions. A variant that is a whole window: insertions and deletions.
+    member = F.struct("d", "n", "text")
     sites = less.select("key", "i", "variant", member.alias("own"))
     same_place = sites.groupBy("key", "i", "variant").agg(F.min("own").alias("other"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     substituted = sites.join(same_place, ["key", "i", "variant"]).select("own", "other")
@@ -98,9 +101,9 @@ def near_matches(lines: DataFrame, near_min_chars: int = 20) -> DataFrame:
     return (
         substituted.unionByName(edited)
         .where((F.struct("other.d", "other.n") < F.struct("own.d", "own.n")) & (F.levenshtein("own.text", "other.text", 1) >= 0))
-        .groupBy(F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2"))
+        .groupBy(F.col("own.d").alias("d"), F.col("own.n").alias("n"))
         .agg(F.min(F.struct("other.d", "other.n")).alias("o"))
-        .select("h1", "h2", F.col("o.d").alias("near_d"), F.col("o.n").alias("near_n"))
+        .select("d", "n", F.col("o.d").alias("near_d"), F.col("o.n").alias("near_n"))
     )
 
 
@@ -110,7 +113,7 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = cut(lines.drop("line"), "lines")
     repeated = ids.groupBy("h1", "h2").agg(F.min(F.struct("d", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
     known = repeated.select("h1", "h2", F.col("f.d").alias("fd"), F.col("f.n").alias("fn"))
-    near = near_matches(lines, near_min_chars).select("h1", "h2", F.lit(-MAX_LONG - 1).cast("long").alias("fd"), F.lit(-1).cast("long").alias("fn"))
+    near = near_matches(lines, near_min_chars).join(ids, ["d", "n"]).select("h1", "h2", F.lit(-MAX_LONG - 1).cast("long").alias("fd"), F.lit(-1).alias("fn"))
     later = F.struct("d", "n") > F.struct("fd", "fn")
     return ids.join(known.unionByName(near), ["h1", "h2"]).where(later).groupBy("d", "n").agg(F.min(F.col("fn") < 0).alias("near"))
 
@@ -120,7 +123,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = (
         duplicate_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, near_min_chars=near_min_chars)
         .groupBy("d")
-        .agg(F.collect_set(F.col("n").cast("int")).alias("gone"), F.count_if(F.col("near")).alias("near"))
+        .agg(F.collect_set("n").alias("gone"), F.count_if(F.col("near")).alias("near"))
     )
     gone = gone.select(F.col("d").alias("__d"), F.struct("gone", "near").alias("__g"))
     keyed = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)))

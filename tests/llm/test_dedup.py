@@ -18,7 +18,7 @@ def messy(spark, rows):
     return spark.createDataFrame([(i, t, 1, "x", 2, 0.5, 3, "y") for i, t in rows], SCHEMA)
 
 
-ODD = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, LONG), (6, "The same long line of text here.\nx"), (6, "The same long line of text here.\nx"), (None, "The same long line of text here."), (None, None), (7, "\n\n"), (8, "  The  SAME long line of text here. ")]
+ODD = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, LONG), (6, "The same long line of text here.\nx"), (6, "The same long line of text here.\nx"), (None, "The same long line of text here."), (None, None), (7, "\n\n"), (8, "  The SAME long line of text here. \r")]
 
 
 # ---- lines
@@ -34,12 +34,10 @@ def within_one(a, b):
 
 
 def brute_lines(rows, min_chars=10, near_min_chars=20):
-    import re
-
     lines = []
     for i, t in rows:
         for n, raw in enumerate((t or "").split("\n")):
-            x = re.sub(r"[ \t\n\x0b\x0c\r\xa0]+", " ", raw.lower()).strip(" ")
+            x = raw.lower().strip(" \t\r\x0b\x0c\xa0")
             lines.append(((i if i is not None else 1 << 63, n), x))
     gone = {}
     for p, x in lines:
