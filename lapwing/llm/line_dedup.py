@@ -9,8 +9,8 @@ Its place is (doc_id, line number); a null doc_id comes last. Rows that share a
   (insertion, deletion or substitution). The earlier line need not itself stay, so the result doesn't depend on
   the order of the work.
 
-Emitting every one-deletion variant of every line costs a row for each character of the corpus. So lines first pass two
-lossless sieves. A line is laid out in windows; a single edit falls into one of them, and what lies outside it is equal in
+Emitting every one-deletion variant of every line costs a row for each character of the corpus. So lines first pass
+lossless sieves, two at least and more while a window is long. A line is laid out in windows; a single edit falls into one of them, and what lies outside it is equal in
 both lines. Only windows whose outside is shared with a different line go on. Their deletion variants are emitted as hashed
 keys, equal variants are joined, and the edit distance of the joined windows is verified with ``levenshtein``.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lapwing.llm.common import MAX_LONG, cut, text_of
 
-WINDOW = 1024
+WINDOW = 256
 WHITE = " \t\r\x0b\x0c\xa0"
 
 
@@ -43,11 +43,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     )
 
 
-def _layout(length: Column, windows: int) -> tuple[Column, Column]:
-    """Number of windows for a length, and the block by which each starts after the one before. Nearby lengths share a layout mostly."""
-    count = F.when(length <= windows * WINDOW, F.lit(windows)).otherwise(F.ceil(length / WINDOW)).cast("int")
+def _step(length: Column, windows: int) -> Column:
+    """The block by which each window starts after the one before. It is rounded, so nearby lengths mostly share it."""
     grain = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(length + F.lit(0.5))) - 3 - windows.bit_length()).cast("int"))
-    return count, (grain * F.floor(length / (count * grain))).cast("int")
+    return (grain * F.floor(length / (windows * grain))).cast("int")
 
 
 def _windows(rows: DataFrame, windows: int) -> DataFrame:
@@ -55,20 +54,14 @@ def _windows(rows: DataFrame, windows: int) -> DataFrame:
 
     Lengths differ by one at most in a pair, so a text is also laid out as the text that is one shorter, where that differs.
     """
-    size = F.length("text")
-    sized = rows.withColumn("size", size)
-    (c1, b1), (c2, b2) = _layout(F.col("size"), windows), _layout(F.col("size") - 1, windows)
-    laid = sized.select("*", c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"))
-    total = F.col("c1") + F.when((F.col("c1") != F.col("c2")) | (F.col("b1") != F.col("b2")), F.col("c2")).otherwise(0)
+    laid = rows.withColumn("size", F.length("text")).select("*", _step(F.col("size"), windows).alias("b1"), _step(F.col("size") - 1, windows).alias("b2"))
+    total = windows * F.when(F.col("b1") != F.col("b2"), 2).otherwise(1)
     each = laid.select("*", F.explode(F.sequence(F.lit(0), total - 1)).alias("i"))
-    own = F.col("i") < F.col("c1")
-    each = each.select(
-        "key", "h1", "d", "n", "text", "size", F.when(own, F.col("c1")).otherwise(F.col("c2")).alias("c"), F.when(own, F.col("b1")).otherwise(F.col("b2")).alias("b"), F.when(own, F.col("i")).otherwise(F.col("i") - F.col("c1")).alias("q")
-    )
-    before, after = F.col("q") * F.col("b"), (F.col("c") - 1 - F.col("q")) * F.col("b")
+    each = each.select("key", "h1", "d", "n", "text", "size", F.when(F.col("i") < windows, F.col("b1")).otherwise(F.col("b2")).alias("b"), (F.col("i") % windows).alias("q"))
+    before, after = F.col("q") * F.col("b"), (windows - 1 - F.col("q")) * F.col("b")
     head, tail = F.substring(F.col("text"), F.lit(1), before), F.substring(F.col("text"), F.col("size") - after + 1, after)
     inside = F.substring(F.col("text"), before + 1, F.col("size") - before - after)
-    return each.select(F.xxhash64("key", "c", "b", "q", head, tail).alias("key"), "h1", "d", "n", inside.alias("text"))
+    return each.select(F.xxhash64("key", "b", "q", head, tail).alias("key"), "h1", "d", "n", inside.alias("text"))
 
 
 def _sieve(rows: DataFrame, windows: int) -> DataFrame:
@@ -83,6 +76,8 @@ def near_matches(lines: DataFrame, near_min_chars: int = 20) -> DataFrame:
     """The first place (d, n) of every distinct line that has an earlier line within one edit, with the place (near_d, near_n) of the earliest."""
     rows = lines.where(F.length("line") >= near_min_chars).select(F.lit(0).cast("long").alias("key"), "h1", "d", "n", F.col("line").alias("text"))
     kept = _sieve(_sieve(rows, 2), 4)
+    while (kept.agg(F.max(F.length("text"))).first()[0] or 0) > WINDOW:
+        kept = _sieve(kept, 4)
 
     text, size = F.col("text"), F.length("text")
     less = kept.where(size > 0).withColumn("i", F.explode(F.sequence(F.lit(1), size)))
