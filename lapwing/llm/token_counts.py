@@ -1,12 +1,12 @@
 """Token counts from flat, unindexed token files by a separator scan.
 
-A token file is a run of little-endian unsigned 32-bit ids; each document ends with the end-of-document id. Nothing says where documents
+A token file is a run of little-endian unsigned ids of 32 bits, or of 16 where the vocabulary is small enough; each document ends with the end-of-document id. Nothing says where documents
 begin, and a document may run on from one file into the next. A scan takes each file in blocks: one vectorised comparison finds
 the separators of a block, and their differences are the lengths of the documents inside. What lies before the first and after the last
 separator of a block is stitched on: blocks of a file by a running carry in the scan, files by a prefix scan over one small row a file.
 
-Files come through Spark's own reader, so any store that Spark knows will do. One file is one row: write shards of bounded size, as
-``write_token_files`` does (its size follows SHARD_TOKENS). Files are taken in the order of their paths.
+Files come through Spark's own reader, so any store that Spark knows will do. One file is one row: write files of bounded size, as
+``write_token_files`` does (DOCS_A_FILE documents at most). Files are taken in the order of their paths.
 
 Edge cases: an empty file adds nothing; a document of the end id alone counts as zero tokens (or one with the id);
 ids after the last separator form an unclosed document, reported with closed = false; bytes short of a whole id at a file's end raise an error.
@@ -24,7 +24,7 @@ from lapwing.llm.common import scratch, text_of
 from lapwing.llm.tokens import encoding
 
 BLOCK = 1 << 18
-SHARD_BYTES = 4 << 20  # of text
+DOCS_A_FILE = 16384
 EMIT = 100_000
 
 
@@ -44,16 +44,16 @@ def scan(ids: np.ndarray, end_id: int, block: int = BLOCK):
     yield carry
 
 
-def token_counts(spark: SparkSession, path: str, end_id: int, *, block: int = BLOCK) -> DataFrame:
-    """path, ordinal (from 0, among the documents that end in the file), n_tokens without the separator, closed. path is that of the file in which the document ends."""
+def token_counts(spark: SparkSession, path: str, end_id: int, *, block: int = BLOCK, width: int = 4) -> DataFrame:
+    """path, ordinal (from 0, among the documents that end in the file), n_tokens without the separator, closed. width: bytes of an id. path is that of the file in which the document ends."""
 
     def work(batches):
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                if len(content) % 4:
+                if len(content) % width:
                     raise ValueError(f"{name}: {len(content)} bytes are no whole number of ids")
                 n = 0
-                for lengths in scan(np.frombuffer(content, "<u4"), end_id, block):
+                for lengths in scan(np.frombuffer(content, f"<u{width}"), end_id, block):
                     if isinstance(lengths, int):
                         yield pd.DataFrame({"path": [name], "ordinal": [n], "n_tokens": [lengths], "open": [True]})
                     else:
@@ -76,48 +76,37 @@ def token_counts(spark: SparkSession, path: str, end_id: int, *, block: int = BL
     return closed.unionByName(left.where("n_tokens > 0"))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    """Writes flat token files in folders shard=0.. below path: in each, documents in the order of their ids. Returns the number of shards.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, text_col: str = "text", docs_a_file: int = DOCS_A_FILE) -> int:
+    """Writes flat token files below path, documents in the order in which docs has them, without a shuffle. Returns the bytes of an id.
 
-    Spark's text sink writes the bytes as they are, with the end id's four bytes as its line separator.
+    Spark's text sink writes the bytes as they are, with the end id's bytes as its line separator. Partition p goes to part-p, with a new file (c000, c001 ..) after docs_a_file documents.
     """
-    total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    width = 2 if encoding(tokenizer).n_vocab <= 1 << 16 else 4
 
     @F.pandas_udf("binary")
     def encoded(texts: pd.Series) -> pd.Series:
         t = encoding(tokenizer)
-        return pd.Series([t.encode_to_numpy(x, disallowed_special=()).astype("<u4").tobytes() for x in texts], dtype=object)
-
-    separator = np.uint32(end_id).tobytes().decode("latin-1")
-    (
-        _placed(docs, shards, id_col, text_col)
-        .withColumn("value", encoded("text").cast("string"))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "id", "h")
-        .select("shard", "value")
-        .write.partitionBy("shard")
-        .option("encoding", "ISO-8859-1")
-        .option("lineSep", separator)
-        .text(path)
-    )
-    return shards
-
-
-def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text, shard, and the hash that orders rows with one id. Rows with one id spread over shards unless their texts are equal too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    h = F.xxhash64("id", "text")
-    return rows.withColumn("h", h).withColumn("shard", F.pmod("h", F.lit(shards)))
-
-
-def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, shard, ordinal of every row, as the scan of token files of the table finds them."""
-    spark = docs.sparkSession
-    path = scratch(spark, "tokens")
-    shards = write_token_files(docs, path, tokenizer, end_id, id_col=id_col, text_col=text_col)
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    counts = token_counts(spark, path, end_id).where("closed").select(shard.alias("shard"), "path", "ordinal", "n_tokens")
-    placed = _placed(docs, shards, id_col, text_col).drop("text")
-    places = placed.withColumn("ordinal", F.row_number().over(Window.partitionBy("shard").orderBy("id", "h")).cast("long") - 1)
-    return counts.join(places, ["shard", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens", "shard", "ordinal")
+        return pd.Series([t.encode_to_numpy(x, disallowed_special=()).astype(f"<u{width}").tobytes() for x in texts], dtype=object)
+
+    separator = int(end_id).to_bytes(width, "little").decode("latin-1")
+    values = docs.select(encoded(text_of(text_col)).cast("string").alias("value"))
+    values.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", docs_a_file).text(path)
+    return width
+
+
+def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", docs_a_file: int = DOCS_A_FILE) -> DataFrame:
+    """doc_id, n_tokens, part, ordinal of every row, as the scan of token files of the table finds them.
+
+    A document is known by its partition and its place in it, so docs must have the same rows in the same partitions whenever it is read, as a table
+    has. Where a place has no document or a document no place, the job fails.
+    """
+    path = scratch(docs.sparkSession, "tokens")
+    width = write_token_files(docs, path, tokenizer, end_id, text_col=text_col, docs_a_file=docs_a_file)
+    named = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    counts = token_counts(docs.sparkSession, path, end_id, width=width).where("closed")
+    counts = counts.select(named(r"part-(\d+)-").alias("part"), (named(r"-c(\d+)\.\w+$") * docs_a_file + F.col("ordinal")).alias("ordinal"), "n_tokens")
+    place = F.monotonically_increasing_id()
+    places = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("place")).select("doc_id", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("ordinal"), F.lit(True).alias("there"))
+    met = counts.join(places, ["part", "ordinal"], "full_outer")
+    whole = F.col("there").isNotNull() & F.col("n_tokens").isNotNull()
+    return met.select("doc_id", F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents differ")).cast("long")).alias("n_tokens"), "part", "ordinal")
