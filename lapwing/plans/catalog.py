@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lapwing.plans import leaderboards, performances, relations
+from lapwing.plans import feeds, leaderboards, performances, relations
 
-MODULES = (leaderboards, performances, relations)
+MODULES = (feeds, leaderboards, performances, relations)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
