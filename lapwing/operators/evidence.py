@@ -90,3 +90,38 @@ def corroborated(facts: DataFrame, people: DataFrame, key: Sequence[str], by_tea
     ]
     person, field = (F.coalesce(*[F.when(r[0], pick(r)) for r in rules]) for pick in (lambda r: F.col(f"__{r[1]}_min"), lambda r: r[2]))
     return found.select("fact_id", person.alias("person"), field.alias("match_field")).where("person IS NOT NULL")
+
+
+#: Words that many schools share.
+GENERIC = ["university", "college", "univ", "state", "the", "of", "and", "saint", "community", "valley"]
+
+
+def school_words(school: Column) -> Column:
+    """Distinct words of four letters or more that tell a school from others."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(school, F.lit(""))), "['’.]", ""), "[^a-z0-9]+", " ")
+    return F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC)))
+
+
+def by_name_and_school(facts: DataFrame, people: DataFrame, key: Sequence[str]) -> DataFrame:
+    """fact_id, person, reason. A person is taken only if alone among those of the fact's key whose school shares a distinctive word with the fact's team.
+
+    facts: fact_id, key columns, team; people: person, key columns, school. Facts whose key is null meet nobody.
+    """
+    met = facts.join(people.select("person", *key, F.col("school").alias("__school")), list(key), "left")
+    met = met.withColumn("__backed", F.col("person").isNotNull() & F.arrays_overlap(school_words(F.col("team")), school_words(F.col("__school"))))
+    n = met.groupBy("fact_id").agg(F.count("person").alias("__n"), F.count_if("__backed").alias("__k"), F.min(F.when(F.col("__backed"), F.col("person"))).alias("person"))
+    reason = F.when(F.col("__n") == 0, "no_name_match").when(F.col("__k") == 1, "name_school").when(F.col("__k") > 1, "ambiguous_school").when(F.col("__n") == 1, "no_school_corroboration").otherwise("ambiguous_name")
+    return n.select("fact_id", F.when(F.col("__k") == 1, F.col("person")).alias("person"), reason.alias("reason"))
+
+
+def backed_unique_names(rows: DataFrame, targets: DataFrame, name: str, backing: DataFrame) -> DataFrame:
+    """row_id, target: rows whose name one target alone bears, if backing(row_id, target) has that pair."""
+    only = targets.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("__n"), F.min("target").alias("target")).where("__n = 1").drop("__n")
+    return rows.join(only, name).select("row_id", "target").join(backing.select("row_id", "target"), ["row_id", "target"], "left_semi")
+
+
+def host_verdicts(meets: DataFrame, schools: DataFrame) -> DataFrame:
+    """meet, verdict: real where a school of its results is of the host's state, copy where none is; null where the host's or every school's state is unknown.
+    meets: meet, host; schools: meet, state, one row per result."""
+    seen = schools.where("state IS NOT NULL").join(meets, "meet").groupBy("meet").agg(F.max((F.col("state") == F.col("host")).cast("int")).alias("__same"))
+    return meets.join(seen, "meet", "left").select("meet", F.when(F.col("__same") == 1, "real").when(F.col("__same") == 0, "copy").alias("verdict"))

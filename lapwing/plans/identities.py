@@ -118,16 +118,43 @@ def backfilled_lines(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "supplier", "action")
 
 
+def named_people(spark: SparkSession, d: str) -> DataFrame:
+    """A customer for each supplier by number, backed by a distinctive word of the segment."""
+    school = F.get(F.array(F.lit("Austin State"), F.lit("Boston Col."), F.lit("State University"), F.lit("St. Olaf's")), (F.col("c_custkey") % 4).cast("int"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 600).alias("name"), school.alias("school"))
+    team = F.get(F.array(F.lit("Univ of AUSTIN"), F.lit("Boston"), F.lit("The State University"), F.lit(None).cast("string"), F.lit("olafs")), (F.col("s_suppkey") % 5).cast("int"))
+    facts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fact_id"), (F.col("s_suppkey") * 7).alias("name"), team.alias("team"))
+    return evidence.by_name_and_school(facts, people, ["name"])
+
+
+def backed_names(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose balance in whole units one supplier alone has, if one of their orders has a line of that supplier."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.floor(F.col("c_acctbal") / 10).alias("name"))
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.floor(F.col("s_acctbal") / 10).alias("name"))
+    backing = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("row_id"), F.col("l_suppkey").alias("target"))
+    return evidence.backed_unique_names(rows, targets, "name", backing)
+
+
+def host_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as meets, hosted by their customer's nation: real if a supplier of a line is of that nation."""
+    meets = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("meet"), F.nullif("c_nationkey", F.lit(0)).alias("host"))
+    schools = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("meet"), F.nullif("s_nationkey", F.lit(1)).alias("state"))
+    return evidence.host_verdicts(meets, schools).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "J18_scored_meets": scored_meets,
     "J23_name_likeness": name_likeness,
     "J25_prefix_teams": prefix_teams,
     "J26_source_identities": source_identities,
     "J27_corroborated_people": corroborated_people,
+    "J28_named_people": named_people,
+    "J31_backed_names": backed_names,
     "M7_roster_plan": roster_plan,
     "M9_recovery_queue": recovery_queue,
     "M12_M13_backfilled_lines": backfilled_lines,
     "M14_empty_twins": empty_twins,
+    "M16_host_verdicts": host_verdicts,
     "M17_merge_plan": merge_plan,
     "M21_grouped_cases": grouped_cases,
 }
@@ -166,6 +193,14 @@ ORACLE_SQL = {
         SELECT fact_id, CASE WHEN ns = 1 THEN ps WHEN ns = 0 THEN pt ELSE pe END AS person,
                CASE WHEN ns = 1 THEN CASE WHEN school IS NULL THEN 'exact_unique_name_gender' ELSE 'exact_name_gender_school' END WHEN ns = 0 THEN 'exact_name_gender_team_participation' ELSE 'exact_name_gender_school_meet_participation' END AS match_field
         FROM g WHERE ns = 1 OR (ns = 0 AND nt = 1) OR (ns > 1 AND school IS NOT NULL AND ne = 1)""",
+    "J28_named_people": """
+        WITH m AS (SELECT s_suppkey AS fact_id, c_custkey AS person, CASE s_suppkey % 5 WHEN 0 THEN c_custkey % 4 = 0 WHEN 1 THEN c_custkey % 4 = 1 WHEN 4 THEN c_custkey % 4 = 3 ELSE FALSE END AS backed
+                   FROM supplier LEFT JOIN customer ON c_custkey % 600 = s_suppkey * 7),
+        n AS (SELECT fact_id, count(person) AS n, count(*) FILTER (person IS NOT NULL AND backed) AS k, min(person) FILTER (backed) AS p FROM m GROUP BY 1)
+        SELECT fact_id, CASE WHEN k = 1 THEN p END AS person, CASE WHEN n = 0 THEN 'no_name_match' WHEN k = 1 THEN 'name_school' WHEN k > 1 THEN 'ambiguous_school' WHEN n = 1 THEN 'no_school_corroboration' ELSE 'ambiguous_name' END AS reason FROM n""",
+    "J31_backed_names": """
+        WITH u AS (SELECT floor(s_acctbal / 10) AS name, min(s_suppkey) AS target FROM supplier GROUP BY 1 HAVING count(*) = 1)
+        SELECT c_custkey AS row_id, target FROM customer JOIN u ON name = floor(c_acctbal / 10) WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey AND l_suppkey = target)""",
     "M7_roster_plan": """
         WITH r AS (SELECT o_custkey AS c, year(o_orderdate) AS y, bool_or(o_orderkey % 11 = 0) AS x, bool_or(o_orderkey % 11 <> 0) AS z FROM orders GROUP BY 1, 2),
         d AS (SELECT *, CASE WHEN x AND z THEN 'conflicting_rows_for_source_key' WHEN c % 17 = 0 THEN 'canonical_athlete_missing' WHEN c % 13 = 0 THEN 'ambiguous_outside_id' WHEN c % 19 = 0 THEN 'athlete_gender_conflict'
@@ -187,6 +222,10 @@ ORACLE_SQL = {
         WITH c AS (SELECT c_custkey AS person, c_nationkey || '|' || c_mktsegment AS name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS f,
                           EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS u FROM customer)
         SELECT person, name FROM c WHERE NOT f AND NOT u AND name IN (SELECT name FROM c WHERE f)""",
+    "M16_host_verdicts": """
+        WITH m AS (SELECT o_orderkey, nullif(c_nationkey, 0) AS host FROM orders JOIN customer ON o_custkey = c_custkey),
+        v AS (SELECT o_orderkey, max(CASE WHEN s_nationkey IS NULL OR s_nationkey = 1 OR host IS NULL THEN NULL WHEN s_nationkey = host THEN 1 ELSE 0 END) AS same FROM m LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+        SELECT CASE same WHEN 1 THEN 'real' WHEN 0 THEN 'copy' END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "M17_merge_plan": """
         WITH p AS (SELECT c_custkey AS person, c_nationkey % 2 AS g, c_nationkey % 3 AS m, CASE WHEN c_custkey % 5 = 0 THEN 'u' || (c_custkey // 40) WHEN c_custkey % 5 = 1 THEN 'v' || c_custkey END AS url FROM customer),
         d AS (SELECT c_custkey AS old, CASE WHEN c_custkey % 21 = 0 THEN c_custkey ELSE c_custkey + 3 END AS target FROM customer WHERE c_custkey % 3 = 0),

@@ -50,3 +50,12 @@ def test_empty_twins_and_groups(spark):
     assert [r.person for r in reviews.empty_twins(people, "name", facts, [legs]).collect()] == [2]
     cases = spark.createDataFrame([("k", "x", None), ("k", "y", "z"), (None, "x", "z")], "k string, a string, b string")
     assert sorted(((r.k or "", r.n, r.conflicts) for r in reviews.consistent_groups(cases, ["k"], ["a", "b"]).collect())) == [("", 1, ""), ("k", 2, "a")]
+
+
+def test_names_backed_by_schools(spark):
+    facts = spark.createDataFrame([(1, "a", "Univ. of Austin"), (2, "a", "State College"), (3, "b", "Austin"), (4, "c", None), (5, None, "Austin"), (6, "d", "Austin")], "fact_id int, name string, team string")
+    people = spark.createDataFrame([(1, "a", "Austin State"), (2, "a", "State"), (3, "b", "Austin"), (4, "b", "Austin's"), (5, "c", "Austin"), (6, "b", "austin")], "person int, name string, school string")
+    got = sorted(tuple(r) for r in evidence.by_name_and_school(facts, people, ["name"]).collect())
+    assert got == [(1, 1, "name_school"), (2, None, "ambiguous_name"), (3, None, "ambiguous_school"), (4, None, "no_school_corroboration"), (5, None, "no_name_match"), (6, None, "no_name_match")]
+    meets, schools = spark.createDataFrame([(1, "TX"), (2, "TX"), (3, None), (4, "TX")], "meet int, host string"), spark.createDataFrame([(1, "OK"), (1, "TX"), (2, "OK"), (2, None), (3, "TX"), (4, None)], "meet int, state string")
+    assert sorted(map(tuple, evidence.host_verdicts(meets, schools).collect())) == [(1, "real"), (2, "copy"), (3, None), (4, None)]
