@@ -125,3 +125,19 @@ def host_verdicts(meets: DataFrame, schools: DataFrame) -> DataFrame:
     meets: meet, host; schools: meet, state, one row per result."""
     seen = schools.where("state IS NOT NULL").join(meets, "meet").groupBy("meet").agg(F.max((F.col("state") == F.col("host")).cast("int")).alias("__same"))
     return meets.join(seen, "meet", "left").select("meet", F.when(F.col("__same") == 1, "real").when(F.col("__same") == 0, "copy").alias("verdict"))
+
+
+def profile_matches(pairs: DataFrame, key: str, profile: str, name: Column, found_name: Column, school_matches: Column, collegiate: Column) -> DataFrame:
+    """key, profile, score, confidence, possible_transfer: the best-scored profile of each key, ties to the smaller profile.
+
+    Names agree if equal (50), or, for 30, if one holds the other or first and last words agree; other pairs are left out. A school that matches counts 50, a
+    collegiate profile 10. Confidence is high with the school, medium for an equal name alone, else low. Null conditions don't hold.
+    """
+    words = lambda c: F.split(c, " ")
+    ends = (F.size(words(name)) >= 2) & (F.size(words(found_name)) >= 2) & (F.get(words(name), F.lit(0)) == F.get(words(found_name), F.lit(0))) & (F.element_at(words(name), -1) == F.element_at(words(found_name), -1))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    met = pairs.withColumn("__exact", yes(name == found_name)).withColumn("__school", yes(school_matches)).where(F.col("__exact") | yes(_either_holds(name, found_name)) | yes(ends))
+    score = F.when(F.col("__exact"), 50).otherwise(30) + F.when(F.col("__school"), 50).otherwise(0) + F.when(yes(collegiate), 10).otherwise(0)
+    best = met.groupBy(key).agg(F.min(F.struct((-score).alias("s"), profile, "__exact", "__school")).alias("b")).select(key, "b.*")
+    confidence = F.when(F.col("__school"), "high").when(F.col("__exact"), "medium").otherwise("low")
+    return best.select(key, profile, (-F.col("s")).alias("score"), confidence.alias("confidence"), (F.col("__exact") & ~F.col("__school")).alias("possible_transfer"))

@@ -142,6 +142,23 @@ def host_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return evidence.host_verdicts(meets, schools).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def profile_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best customer profile for each supplier of one nation: names by number, schools by segment."""
+    names = ["ann lee", "ann marie lee", "lee", "bo"]
+    pick = lambda c: F.get(F.array(*[F.lit(n) for n in names]), (F.col(c) % 4).cast("int"))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", pick("c_custkey").alias("theirs"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", pick("s_suppkey").alias("ours"))
+    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    school = (F.col("s_suppkey") % 2 == 0) & (F.col("c_mktsegment") == "BUILDING")
+    return evidence.profile_matches(pairs, "s_suppkey", "c_custkey", F.col("ours"), F.col("theirs"), school, F.col("c_custkey") % 3 == 0)
+
+
+def region_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Nations by an inline table of region labels."""
+    values = spark.createDataFrame([(0, "south"), (1, "west"), (2, "east")], "n_regionkey int, label string")
+    return table(spark, d, "nation").join(values, "n_regionkey").select("n_nationkey", "label")
+
+
 QUERIES = {
     "J18_scored_meets": scored_meets,
     "J23_name_likeness": name_likeness,
@@ -149,6 +166,7 @@ QUERIES = {
     "J26_source_identities": source_identities,
     "J27_corroborated_people": corroborated_people,
     "J28_named_people": named_people,
+    "J29_profile_matches": profile_matches,
     "J31_backed_names": backed_names,
     "M7_roster_plan": roster_plan,
     "M9_recovery_queue": recovery_queue,
@@ -157,6 +175,7 @@ QUERIES = {
     "M16_host_verdicts": host_verdicts,
     "M17_merge_plan": merge_plan,
     "M21_grouped_cases": grouped_cases,
+    "S14_region_labels": region_labels,
 }
 
 _MEET = "SELECT o_orderkey AS id, ['spring open', 'open', 'spring open relays', 'invite'][o_orderkey % 4 + 1] AS name, ['austin tx', 'austin', NULL][o_custkey % 3 + 1] AS place, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 3)::INTEGER AS b FROM orders WHERE o_orderstatus = '{}'"
@@ -198,6 +217,12 @@ ORACLE_SQL = {
                    FROM supplier LEFT JOIN customer ON c_custkey % 600 = s_suppkey * 7),
         n AS (SELECT fact_id, count(person) AS n, count(*) FILTER (person IS NOT NULL AND backed) AS k, min(person) FILTER (backed) AS p FROM m GROUP BY 1)
         SELECT fact_id, CASE WHEN k = 1 THEN p END AS person, CASE WHEN n = 0 THEN 'no_name_match' WHEN k = 1 THEN 'name_school' WHEN k > 1 THEN 'ambiguous_school' WHEN n = 1 THEN 'no_school_corroboration' ELSE 'ambiguous_name' END AS reason FROM n""",
+    "J29_profile_matches": """
+        WITH p AS (SELECT s_suppkey, c_custkey, s_suppkey % 4 AS a, c_custkey % 4 AS b, s_suppkey % 2 = 0 AND c_mktsegment = 'BUILDING' AS school, c_custkey % 3 = 0 AS college FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+        m AS (SELECT *, CASE WHEN a = b THEN 50 ELSE 30 END + CASE WHEN school THEN 50 ELSE 0 END + CASE WHEN college THEN 10 ELSE 0 END AS score FROM p WHERE a = b OR (a < 3 AND b < 3))
+        SELECT s_suppkey, c_custkey, score, CASE WHEN school THEN 'high' WHEN a = b THEN 'medium' ELSE 'low' END AS confidence, a = b AND NOT school AS possible_transfer
+        FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) AS rn FROM m) WHERE rn = 1""",
+    "S14_region_labels": "SELECT n_nationkey, label FROM nation JOIN (VALUES (0, 'south'), (1, 'west'), (2, 'east')) v(k, label) ON n_regionkey = k",
     "J31_backed_names": """
         WITH u AS (SELECT floor(s_acctbal / 10) AS name, min(s_suppkey) AS target FROM supplier GROUP BY 1 HAVING count(*) = 1)
         SELECT c_custkey AS row_id, target FROM customer JOIN u ON name = floor(c_acctbal / 10) WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey AND l_suppkey = target)""",

@@ -59,3 +59,10 @@ def test_names_backed_by_schools(spark):
     assert got == [(1, 1, "name_school"), (2, None, "ambiguous_name"), (3, None, "ambiguous_school"), (4, None, "no_school_corroboration"), (5, None, "no_name_match"), (6, None, "no_name_match")]
     meets, schools = spark.createDataFrame([(1, "TX"), (2, "TX"), (3, None), (4, "TX")], "meet int, host string"), spark.createDataFrame([(1, "OK"), (1, "TX"), (2, "OK"), (2, None), (3, "TX"), (4, None)], "meet int, state string")
     assert sorted(map(tuple, evidence.host_verdicts(meets, schools).collect())) == [(1, "real"), (2, "copy"), (3, None), (4, None)]
+
+
+def test_profiles(spark):
+    rows = [(1, 5, "ann lee", "ann lee", None, True), (1, 4, "ann lee", "ann lee", False, True), (1, 3, "ann lee", "ann b lee", True, None), (2, 6, "bo", "bo", None, None), (3, 7, "bo", "cy", True, True), (4, 8, None, "cy", True, True), (5, 9, "al", "al li", False, False)]
+    df = spark.createDataFrame(rows, "k int, p int, a string, b string, s boolean, c boolean")
+    got = evidence.profile_matches(df, "k", "p", F.col("a"), F.col("b"), F.col("s"), F.col("c")).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 80, "high", False), (2, 6, 50, "medium", True), (5, 9, 30, "low", False)]
