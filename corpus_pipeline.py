@@ -1,11 +1,11 @@
-"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, packing. Each stage is written and read again before the next."""
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, packing. Each stage is written and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import line_dedup, packing, quality_crf, simhash_dedup
+from lapwing.llm import line_dedup, near_copies, packing, quality_crf
 from lapwing.llm.common import scratch, table, tokenizer_path
 
 
@@ -25,8 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """The document with the least id of each group of near copies: five-word shingles, exact Jaccard similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
