@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapwing.operators import intervals
+
 
 def unique_lookup(df: DataFrame, key: Column, value: str) -> DataFrame:
     """key, value: keys that lead to one value only."""
@@ -58,25 +60,40 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
-def reconcile(source: DataFrame, local: DataFrame, key: Sequence[str], score: Column, source_id: str, local_id: str, rounds: int = 64) -> DataFrame:
+def reconcile(source: DataFrame, local: DataFrame, key: Sequence[str], score: Column, source_id: str, local_id: str, days: tuple[str, str, int] | None = None) -> DataFrame:
     """Greedy one-to-one matching within equal keys: source_id, local_id, score; the best-scored pairs first, ties to smaller ids.
 
+    days: date columns of source and local and the days within which they must lie; candidates are then joined by blocks of days.
     Each round takes every pair that is the best of both its sides; a round's table is cut off its lineage. As in the greedy order a
-    pair that is best for both sides is always taken, rounds give the greedy result. Rounds end when no candidate is left.
+    pair that is best for both sides is always taken, rounds give the greedy result. Where all of some sources tie with all of some locals, and with
+    nothing else, at the best score of each, the greedy order takes them rank by rank, and one round takes them all. Rounds end when no candidate is left.
     """
-    spark = source.sparkSession
-    _checkpoints(spark)
-    left = source.join(local, list(key)).select(source_id, local_id, score.alias("score")).where("score > 0").checkpoint()
-    found = None
-    for _ in range(rounds):
-        order = [F.desc("score"), F.col(source_id), F.col(local_id)]
-        best = left.withColumn("__s", F.row_number().over(Window.partitionBy(source_id).orderBy(*order))).withColumn("__l", F.row_number().over(Window.partitionBy(local_id).orderBy(*order)))
-        taken = best.where("__s = 1 AND __l = 1").select(source_id, local_id, "score").checkpoint()
-        found = taken if found is None else found.unionByName(taken)
+    _checkpoints(source.sparkSession)
+    met = intervals.overlapping(source, local, (days[0],) * 2, (days[1],) * 2, days[2], keys=list(key)) if days else source.join(local, list(key))
+    left, found, n = met.select(source_id, local_id, score.alias("score")).where("score > 0").checkpoint(), None, 0
+    order = [F.desc("score"), F.col(source_id), F.col(local_id)]
+    while True:
+        by_s, by_l = Window.partitionBy(source_id), Window.partitionBy(local_id)
+        best = left.withColumn("__s", F.row_number().over(by_s.orderBy(*order))).withColumn("__l", F.row_number().over(by_l.orderBy(*order)))
+        best = best.withColumn("__ts", F.max("score").over(by_s) == F.col("score")).withColumn("__tl", F.max("score").over(by_l) == F.col("score"))
+        best = best.where("__ts OR __tl")
+        # what a side ties with at its best score, as a hash of the set
+        best = best.withColumn("__hs", F.struct(*_set_hash(local_id, "__ts", by_s))).withColumn("__hl", F.struct(*_set_hash(source_id, "__tl", by_l)))
+        same_l = (F.min(F.when(F.col("__ts"), F.col("__hl"))).over(by_s) == F.max(F.when(F.col("__ts"), F.col("__hl"))).over(by_s)) & F.min(F.when(F.col("__ts"), F.col("__tl"))).over(by_s)
+        same_s = (F.min(F.when(F.col("__tl"), F.col("__hs"))).over(by_l) == F.max(F.when(F.col("__tl"), F.col("__hs"))).over(by_l)) & F.min(F.when(F.col("__tl"), F.col("__ts"))).over(by_l)
+        closed = F.col("__ts") & F.col("__tl") & F.col("__cs") & F.col("__cl") & (F.col("__s") == F.col("__l"))
+        taken = best.withColumn("__cs", same_l).withColumn("__cl", same_s).where(closed | (F.col("__s") + F.col("__l") == 2)).select(source_id, local_id, "score").checkpoint()
+        found, n = (taken if found is None else found.unionByName(taken)), n + 1
+        found = found if n % 16 else found.checkpoint()
         left = left.join(taken.select(source_id), source_id, "left_anti").join(taken.select(local_id), local_id, "left_anti").checkpoint()
         if left.isEmpty():
             return found
-    raise RuntimeError(f"{rounds} rounds left candidates over")
+
+
+def _set_hash(member: str, of: str, over) -> list[Column]:
+    """Size and two hashes of the set of members where of holds."""
+    held = lambda x: F.when(F.col(of), x)
+    return [F.count(held(F.lit(1))).over(over).alias("c"), F.bit_xor(held(F.xxhash64(member))).over(over).alias("x"), F.bit_xor(held(F.xxhash64(F.lit("b"), member))).over(over).alias("y")]
 
 
 def components(edges: DataFrame) -> DataFrame:

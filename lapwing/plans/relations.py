@@ -168,7 +168,16 @@ def reconciled_orders(spark: SparkSession, d: str) -> DataFrame:
     o = _days(spark, d)
     side = lambda status, p: o.where(F.col("o_orderstatus") == status).select("o_custkey", F.col("o_orderkey").alias(f"{p}_order"), F.col("day").alias(f"{p}_day"), F.col("o_orderpriority").alias(f"{p}_priority"))
     score = F.greatest(F.lit(0), 91 - F.abs(F.datediff("f_day", "o_day"))) + F.when((F.abs(F.datediff("f_day", "o_day")) <= 90) & (F.col("f_priority") == F.col("o_priority")), 10).otherwise(0)
-    return matching.reconcile(side("F", "f"), side("O", "o"), ["o_custkey"], score, "f_order", "o_order")
+    return matching.reconcile(side("F", "f"), side("O", "o"), ["o_custkey"], score, "f_order", "o_order", ("f_day", "o_day", 90))
+
+
+def order_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Every finished and every open order with its outcome in that matching: matched, missing (finished only), extra (open only)."""
+    o, pairs = _days(spark, d), reconciled_orders(spark, d)
+    one = lambda status, name: o.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias(name))
+    both = one("F", "f_order").join(pairs, "f_order", "left").join(one("O", "o_order"), "o_order", "full")
+    outcome = F.when(F.col("o_order").isNull(), "missing").when(F.col("f_order").isNull(), "extra").otherwise("matched")
+    return both.select("f_order", "o_order", "score", outcome.alias("outcome"))
 
 
 def all_nations(spark: SparkSession, d: str) -> DataFrame:
@@ -261,6 +270,7 @@ QUERIES = {
     "J37_head_to_head": head_to_head,
     "J38_nested_lines": nested_lines,
     "J39_reconciled_orders": reconciled_orders,
+    "J39_order_outcomes": order_outcomes,
     "U2_all_nations": all_nations,
     "U4_status_changes": status_changes,
     "S15_merged_status": merged_status,
