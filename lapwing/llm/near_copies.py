@@ -1,21 +1,23 @@
-"""Near copies by the Jaccard similarity of word shingles, without loss.
+"""Near copies by the Jaccard similarity of word shingles: the part of SimHash near-dedup that reaches a similarity of 0.8, without loss.
 
-Two documents are near copies if their sets of 5-word shingles have Jaccard similarity 0.8 or more. All shingles are put in one order. Of two
-sets that are so similar, the first (1 - similarity) * n + 1 shingles of each, its prefix, have a shingle in common. So documents that share
-a prefix shingle are the candidates, and each link is verified on the whole sets.
+Two documents are near copies if their sets of 5-word shingles have Jaccard similarity 0.8 or more. 64 bits of SimHash differ in about ten places
+at that similarity, where a trie can't turn back early. So the trie join's links, at its small budget, settle what is nearly equal; the rest comes
+from prefixes. All shingles are put in one order. Of two sets that are so similar, the first (1 - similarity) * n + 1 shingles of each, its prefix,
+have a shingle in common. So documents that share a prefix shingle are the candidates, and each link, the trie's too, is verified on whole sets.
 
 The order only decides how much work there is: shingles that are frequent in a sample of the documents come last, the others by hash. Documents of
 one prefix shingle first meet one leader each, another in every round, and groups that have become one component rest. What still meets across
 components after these rounds is compared pair by pair, so no pair is left out.
 
+Only prefixes are kept for every document; whole sets are made again from the texts that have a candidate. Sets hold 32 bits of each shingle's hash there:
+two sets of n shingles are expected to agree by chance in n * n / 2**32 of them (0.0001 for 600 words).
+
 Edge cases: texts without words have an empty set and are copies of one another; fewer words than a shingle make one shingle of all; null texts are
 empty; null doc_ids are never dropped; of rows that repeat a doc_id, only those whose own text is a near copy go.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,13 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import cut, text_of
-from lapwing.llm.simhash_dedup import components
 
 WORDS = 5
 SIMILARITY = 0.8
 ROUNDS = 3
 SAMPLE_OF = 16
 FREQUENT = 10_000
+CACHE = 500_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+WORD_HASHES = WordHashes()
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -37,16 +53,30 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.int64)
-    joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
     w = min(words, len(parts))
-    spans = zip(starts[: len(parts) - w + 1].tolist(), ends[w - 1 :].tolist())
-    return np.unique(np.fromiter((hashed(joined[a:b]) for a, b in spans), np.uint64)).view(np.int64)
+    each = np.fromiter(map(WORD_HASHES.__getitem__, parts), np.uint64, len(parts))
+    m = len(parts) - w + 1
+    h = np.zeros(m, np.uint64)
+    for i in range(w):
+        h = (h ^ (h >> np.uint64(29))) * MIX + each[i : i + m]
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return np.unique(h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes: a bit is set if more than half of them have it."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        votes += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def _sets(docs: DataFrame, words: int, last: np.ndarray) -> DataFrame:
-    """doc_id, t, sig, n, hs: the shingles of each row in the common order, those of last at the end. t stands for the text, sig for the set."""
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """doc_id, t, sig, n, fp, hs: of each row the first shingles in the common order, those of last at the end. t stands for the text, sig for the set."""
 
     rank = np.argsort(last)
     known = last[rank]
@@ -56,24 +86,40 @@ def _sets(docs: DataFrame, words: int, last: np.ndarray) -> DataFrame:
         often = known[at] == h
         return np.concatenate([h[~often], last[np.sort(rank[at[often]])]]) if often.any() else h
 
+    def each(batches):
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                h = shingles(t, words)
+                first = (moved(h) if len(last) else h)[: prefix_length(len(h), similarity)]
+                out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64), len(h), bits_of(h), first))
+            yield pd.concat([b[["doc_id", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=["sig", "n", "fp", "hs"])], axis=1)
+
+    return docs.mapInPandas(each, "doc_id long, t long, sig long, n int, fp long, hs array<long>")
+
+
+def _whole(rows: DataFrame, words: int) -> DataFrame:
+    """sig, n, hs of rows of sig and text: 32 bits of every shingle."""
+
     def each(batches):
         for b in batches:
             found = [shingles(t, words) for t in b["text"]]
-            sigs = [xxhash.xxh64_intdigest(h.tobytes()) for h in found]
-            if len(last):
-                found = [moved(h) for h in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "sig": np.array(sigs, np.uint64).view(np.int64), "n": [len(h) for h in found], "hs": found})
+            yield pd.DataFrame({"sig": b["sig"], "n": [len(h) for h in found], "hs": [(h & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for h in found]})
+
+    return rows.mapInPandas(each, "sig long, n int, hs array<int>")
 
-    return docs.mapInPandas(each, "doc_id long, t long, sig long, n int, hs array<long>")
 
+def links(docs: DataFrame, marked: DataFrame, settled: DataFrame, components, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between sigs of sets that connect all pairs of at least that similarity.
 
-def links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between sigs of sets that connect all pairs of at least that similarity; from a table of sig, n, hs."""
-    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = sets.where("n > 0").select("sig", "n", F.explode(F.slice("hs", F.lit(1), length)).alias("h"))
+    docs: doc_id, t, text; marked: their prefixes; settled: pairs a, b of sigs that are likely near, tried first; components: as simhash_dedup has it.
+    """
+    prefix = marked.where("n > 0").select("sig", "n", F.explode("hs").alias("h"))
     shared = prefix.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
     met = cut(prefix.join(shared, "h", "left_semi").distinct(), "near-prefixes")
-    whole = cut(sets.join(met.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "hs"), "near-sets")
+    some = marked.join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("t", "doc_id")).alias("m")).select("sig", F.col("m.t").alias("mt"), F.col("m.doc_id").alias("mid"))
+    texts = docs.join(some, (docs.t == some.mt) & docs.doc_id.eqNullSafe(some.mid)).select("sig", "text")
+    whole = cut(_whole(texts, words).dropDuplicates(["sig"]), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (whole.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"h{x}")) for x in "ab")
@@ -84,19 +130,21 @@ def links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def near(x: str, y: str):
         return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
 
-    found, left = None, met.withColumn("root", F.col("sig"))
+    found = cut(verified(settled.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near-links")
+    left = _unsettled(met, found, components)
     for k in range(ROUNDS):
+        if left.isEmpty():
+            return found
         leader = left.groupBy("h").agg(F.min(F.struct(F.xxhash64("sig", F.lit(k)), F.col("sig"), F.col("n"), F.col("root"))).alias("m"))
         star = left.join(leader, "h").where(F.col("root") != F.col("m.root")).where(near("n", "m.n")).select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
-        new = verified(star)
-        found = cut(new if found is None else found.unionByName(new), "near-links")
-        left = _unsettled(left, found)
+        found = cut(found.unionByName(verified(star)), "near-links")
+        left = _unsettled(left, found, components)
     one, two = left.select("h", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     rest = one.join(two, "h").where("a < b AND ra != rb").where(near("na", "nb")).select("a", "b").distinct()
     return found.unionByName(verified(rest))
 
 
-def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(met: DataFrame, found: DataFrame, components) -> DataFrame:
     """Rows of met, with their components, where a prefix shingle still joins several components."""
     roots = components(found)
     now = met.drop("root").join(roots, met.sig == roots.node, "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root"))
@@ -104,19 +152,8 @@ def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
     return cut(now.join(open_, "h", "left_semi"), "near-open")
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows whose id isn't the least of their component of near copies."""
-    if not 0 < similarity <= 1 or not math.isfinite(similarity):
-        raise ValueError("similarity must lie in (0, 1]")
-    key = F.xxhash64(text_of(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), key.alias("t"))
-    seen = _sets(rows.where(F.pmod("t", F.lit(SAMPLE_OF)) == 0), words, np.empty(0, np.int64)).select(F.explode("hs").alias("h"))
+def marked_documents(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The table of prefixes of docs (doc_id, t, text)."""
+    seen = _prefixes(docs.where(F.pmod("t", F.lit(SAMPLE_OF)) == 0), words, 0.0, np.empty(0, np.int64)).select(F.explode("hs").alias("h"))
     often = seen.groupBy("h").count().where("count >= 8").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
-    sets = cut(_sets(rows, words, np.array([r.h for r in often][::-1], np.int64)), "shingles")
-    least = sets.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    roots = components(links(sets.select("sig", "n", "hs"), similarity))
-    named = cut(least.join(roots, least.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "near-roots")
-    first = named.groupBy("root").agg(F.min("least").alias("first"))
-    ids = named.join(first, "root").select("sig", "first")
-    gone = sets.select("doc_id", "t", "sig").join(ids, "sig").where("doc_id != first").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
-    return docs.join(gone, (docs[id_col] == F.col("__id")) & (key == F.col("__t")), "left_anti")
+    return cut(_prefixes(docs, words, similarity, np.array([r.h for r in often][::-1], np.int64)), "shingle-prefixes")

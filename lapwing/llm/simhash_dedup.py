@@ -4,8 +4,8 @@ A fingerprint has a bit set where more than half of a document's word-shingle ha
 form a binary trie. The join walks pairs of nodes at equal depth together, adds up the differing bits of their
 prefixes and turns back once they exceed the error budget; what is left at small nodes is compared at once.
 
-Spread: the top of the trie, to a depth that follows the number of distinct fingerprints, is cut into subtrees. Each pair of
-subtrees whose prefixes differ within the budget is one group of a cogrouped job, so each task holds two small subtrees. A task returns
+Spread: pairs of nodes go down the top of the trie as tables, until both hold at most SUBTREE fingerprints. Each pair of
+subtrees whose prefixes differ within the budget is one group, so each task holds two small subtrees, whatever prefix many documents share. A task returns
 a spanning forest of the links it found, never all pairs of a dense ball. Components come from alternating min-label steps
 on tables, with the lineage cut at every step.
 
@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.llm import near_copies
 from lapwing.llm.common import cut, text_of
 
 BUDGET = 2
 LEAF = 48
 SUBTREE = 2048
+STEP = 4
 SEED = 42
 CHUNK = 1 << 16
 
@@ -113,25 +115,43 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, budget: in
     return links
 
 
-def links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """a, b: links that connect what lies within the budget, from a table of distinct fingerprints fp."""
-    n = fingerprints.count()
-    depth = int(min(12, max(3, np.ceil(np.log2(max(1, n / SUBTREE))))))
-    flips = [0] + [1 << i for i in range(depth)] + [(1 << i) | (1 << j) for i in range(depth) for j in range(i)] if budget >= 2 else [0] + [1 << i for i in range(depth)] * (budget >= 1)
-    top = F.shiftrightunsigned("fp", 64 - depth)
-    spread = fingerprints.select("fp", top.alias("own")).select("fp", "own", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip"))
-    met = spread.select(F.least("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("p"), F.greatest("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("q"), (F.col("own") > F.col("own").bitwiseXOR(F.col("flip"))).alias("second"), "fp")
+def links(fingerprints: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
+    """a, b: links that connect what lies within the budget, from a table of distinct fingerprints fp.
+
+    Node pairs go down the trie STEP levels at a time while one of the two holds more than ``subtree`` fingerprints, so a prefix that many share is
+    cut further, to single fingerprints if need be.
+    """
+    depth, ready = 0, []
+    open_ = fingerprints.sparkSession.range(1).select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("spent"))
+    while True:
+        depth += STEP
+        node = F.shiftrightunsigned("fp", 64 - depth)
+        nodes = fingerprints.groupBy(node.alias("node")).agg(F.count(F.lit(1)).alias("size")).withColumn("parent", F.shiftrightunsigned("node", STEP))
+        one, two = (nodes.select(F.col("parent").alias(f"parent_{x}"), F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+        met = open_.join(one, F.col("p") == F.col("parent_a")).join(two, F.col("q") == F.col("parent_b")).where("p != q OR a <= b")
+        met = met.withColumn("spent", F.col("spent") + F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND((1 << STEP) - 1)))
+        small = (F.col("size_a") <= subtree) & (F.col("size_b") <= subtree)
+        met = cut(met.where(F.col("spent") <= budget).select(F.col("a").alias("p"), F.col("b").alias("q"), "spent", small.alias("small")), "trie-nodes")
+        ready.append((depth, met.where("small")))
+        open_ = met.where("NOT small").drop("small")
+        if depth == 64 or open_.isEmpty():
+            break
+    parts = []
+    for depth, pairs in ready:
+        rows = fingerprints.select("fp", F.shiftrightunsigned("fp", 64 - depth).alias("own"))
+        for side, of in (("p", pairs), ("q", pairs.where("p != q"))):
+            parts.append(rows.join(of, rows.own == of[side]).select(F.lit(depth).alias("depth"), "p", "q", F.lit(side == "q").alias("second"), "fp"))
+    spread = parts[0]
+    for x in parts[1:]:
+        spread = spread.unionByName(x)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         bits = lambda x: np.sort(x.to_numpy("int64").view(np.uint64))
-        one, two = bits(rows.loc[~rows["second"], "fp"]), bits(rows.loc[rows["second"], "fp"])
-        if rows["p"].iloc[0] == rows["q"].iloc[0]:
-            found = trie_join(one, None, depth, budget)
-        else:
-            found = trie_join(one, two, depth, budget) if len(one) and len(two) else []
+        one, two, at = bits(rows.loc[~rows["second"], "fp"]), bits(rows.loc[rows["second"], "fp"]), int(rows["depth"].iloc[0])
+        found = trie_join(one, None if rows["p"].iloc[0] == rows["q"].iloc[0] else two, at, budget)
         return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
-    return met.groupBy("p", "q").applyInPandas(join, "a long, b long")
+    return spread.groupBy("depth", "p", "q").applyInPandas(join, "a long, b long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -167,8 +187,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = BUDGET) -> DataFrame:
-    """docs without the rows whose id isn't the least of their component; rows that repeat an id all stay with it."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, budget=budget)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = BUDGET) -> DataFrame:
+    """doc_id, t, component_id, near of every row: components of documents whose sets of shingles have at least that Jaccard similarity. t: xxhash64 of the text.
+
+    The trie join at the given budget finds the nearly equal ones first; near_copies finds what lies further apart and verifies every link.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie in (0, 1]")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text"))
+    marked = near_copies.marked_documents(rows, words, similarity)
+    sets = cut(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "distinct-sets")
+    first = sets.groupBy("fp").agg(F.min("sig").alias("first"))
+    trie = links(first.select("fp"), budget)
+    one, two = (first.select(F.col("fp").alias(x), F.col("first").alias(f"sig_{x}")) for x in "ab")
+    between = trie.join(one, "a").join(two, "b").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
+    within = sets.join(first, "fp").where("sig != first").select(F.col("sig").alias("a"), F.col("first").alias("b"))
+    roots = components(near_copies.links(rows, marked, between.unionByName(within), components, words, similarity))
+    named = cut(sets.join(roots, sets.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "near-roots")
+    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
+    return marked.select("doc_id", "t", "sig").join(ids, "sig").select("doc_id", "t", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = BUDGET) -> DataFrame:
+    """docs without the rows whose id isn't the least of their component of similar documents; see similar_documents. Null ids stay."""
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity, budget=budget)
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__t")), "left_anti")

@@ -142,7 +142,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, budget=2):
     parent = list(range(len(fps)))
 
     def find(x):
@@ -152,7 +152,7 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= budget:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -163,29 +163,39 @@ def test_fingerprint():
         assert simhash_dedup.fingerprint(t or "") == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("depth", [3, 6])
-def test_trie_join(spark, depth):
-    rng = random.Random(depth)
-    fps = [rng.getrandbits(64) for _ in range(300)]
-    for _ in range(900):
+@pytest.mark.parametrize("subtree,budget", [(2048, 2), (16, 3)])
+def test_trie_join(spark, subtree, budget):
+    rng = random.Random(subtree)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(200):
         x = rng.choice(fps)
         for _ in range(rng.randint(1, 3)):
             x ^= 1 << rng.randrange(64)
         fps.append(x)
     fps = sorted(set(fps) | {0, 1, 3, (1 << 64) - 1})
-    want = brute_components(fps)
+    want = brute_components(fps, budget)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), budget, subtree)
     roots = {r.node: r.root for r in simhash_dedup.components(links).collect()}
     groups, other = {}, {}
     for x, s, w in zip(fps, signed, want):
         groups.setdefault(w, set()).add(s)
         other.setdefault(roots.get(s, s), set()).add(s)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, other.values()))
-    one = simhash_dedup.trie_join(np.array(fps, np.uint64), None, 0)
+    one = simhash_dedup.trie_join(np.array(fps, np.uint64), None, 0, budget)
     assert len(one) == len(fps) - len(groups)
 
 
+def test_prefix_that_many_share(spark):
+    """100,000 fingerprints below one prefix of 40 bits: planted links are found."""
+    fp = (F.lit(0x123456789A << 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))).alias("fp")
+    near = [(0x123456789A << 24 | x, 0x123456789A << 24 | x ^ y) for x, y in ((5, 3), (1 << 23, 1), (77, 1 << 20))]
+    fps = spark.range(100_000).select(fp).unionByName(spark.createDataFrame([(x,) for p in near for x in p], "fp long")).distinct()
+    found = simhash_dedup.links(fps, 1, 8192)
+    roots = {r.node: r.root for r in simhash_dedup.components(found).collect()}
+    assert all(roots.get(a) == roots.get(b) for a, b in near if (a ^ b).bit_count() == 1)
+
+
 def test_simhash_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     fps = [brute_fingerprint(r.text) for r in docs]

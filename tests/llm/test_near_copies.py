@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lapwing.llm import near_copies
+from lapwing.llm import near_copies, simhash_dedup
 
 
 def shingled(text):
@@ -64,6 +64,6 @@ def test_leaders_leave_no_link_out(spark, monkeypatch):
     for rounds in (1, 3):
         monkeypatch.setattr(near_copies, "ROUNDS", rounds)
         monkeypatch.setattr(near_copies, "SAMPLE_OF", 1)
-        kept = {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert kept == {i for i, _ in rows} - {i for i, _ in brute_gone(rows)}
-    assert near_copies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash_dedup.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
