@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import line_dedup, near_copies, packing, quality_crf
+from lapwing.llm import line_dedup, packing, quality_crf, simhash_dedup
 from lapwing.llm.common import scratch, table, tokenizer_path
 
 
@@ -26,7 +26,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five-word shingles, exact Jaccard similarity of 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    return simhash_dedup.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
