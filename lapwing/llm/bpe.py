@@ -51,6 +51,10 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        kinds = [x.get("type") for x in (spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, model)]
+        plain = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+        if kinds != [None, "ByteLevel", "BPE"] or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True) or not plain:
+            raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
         vocab: dict[str, int] = model["vocab"]
         stand = byte_characters()
         back = {c: b for b, c in enumerate(stand)}
@@ -118,9 +122,10 @@ class Bpe:
                     cache[word] = ids
             out += ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, *, special: bool = True) -> list[int]:
+        """special: whether special strings in the text become their ids."""
         out: list[int] = []
-        for i, part in enumerate(self.split.split(text) if self.split else [text]):
+        for i, part in enumerate(self.split.split(text) if self.split and special else [text]):
             if i % 2:
                 out.append(self.special[part])
             elif part:

@@ -52,7 +52,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, keep_ids=False)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import json
 
-from lapwing.llm.bpe import PATTERN, byte_characters
+import numpy as np
+
+from lapwing.llm.bpe import PATTERN, byte_characters, load
 
 
 @functools.cache
@@ -19,3 +21,12 @@ def encoding(path: str):
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
     ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def token_ids(text: str, path: str, *, special: bool = True) -> np.ndarray:
+    """Ids of a text. special: whether special strings in it become their ids. The library gives up on very long runs of white space; those texts go by Bpe, which gives the same ids."""
+    known = encoding(path)
+    try:
+        return known.encode_to_numpy(text, allowed_special=set(known.special_tokens_set)) if special else known.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(load(path).encode(text, special=special), np.uint32)
