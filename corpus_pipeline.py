@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents left, with its place in a sequence."""
-    return packing.with_crc(packing.pack_documents(docs, tokenizer_path(), end_id=1))
+    """Every piece of the documents left, with its ids and its place in a sequence."""
+    return packing.pack_documents(docs, tokenizer_path(), end_id=1)
 
 
 STAGES = [("quality_classifier", keep_good), ("line_dedup", drop_lines), ("simhash_near_dedup", drop_near_copies), ("packing", pack)]
