@@ -4,9 +4,9 @@ Every line gets shape features of its own and of its two neighbours. The chain l
 the document's label as the label of its lines. A document's quality is the mean of the forward-backward marginals of
 "good", weighted by line length, brought to a probability by a logistic curve fitted on the training documents.
 
-Training uses a bounded sample: the SAMPLE labelled documents with the smallest hash of their id. Their whole texts
-are turned into features on the executors; the driver gets features of at most MAX_TRAIN_LINES lines (documents beyond that in hash
-order are left out). Scoring reads every document, whole.
+Training uses a bounded sample: the SAMPLE labelled documents with the smallest hash of their id, in the order of that hash while their lines come to
+MAX_TRAIN_LINES at most; documents of over a twentieth of that are passed over. The lines are counted on the executors before any features are
+made, so the driver gets features of MAX_TRAIN_LINES lines at most. Scoring reads every document, whole.
 
 Edge cases: a null text is an empty one; an empty text has one empty line and gets a score like any other; without any
 labelled document, or with one class only, scores are the share of that class (0.5 if none); an empty table gives
@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lapwing.llm.common import text_of
+from lapwing.llm.common import cut, text_of
 
 SAMPLE = 4000
 MAX_TRAIN_LINES = 200_000
@@ -180,8 +181,9 @@ def score_texts(texts: list[str], model: Chain) -> np.ndarray:
     return 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * s)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Chain:
-    """Fits the chain on a bounded sample of the labelled rows."""
+def sample_of(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """__id and __y of the labelled documents to learn from: in the order of a hash of their ids, `sample` at most, while the lines of all texts with these ids
+    stay within MAX_TRAIN_LINES; a document of over a twentieth of that is passed over. Lines are counted where the texts are."""
     marked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
@@ -189,6 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(sample)
     )
+    text = text_of(text_col)
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    sized = docs.select(F.col(id_col).alias("__id"), lines.alias("__lines")).join(F.broadcast(marked), "__id")  # at most `sample` rows
+    sized = sized.groupBy("__id").agg(F.sum("__lines").alias("__lines"), F.first("__y").alias("__y")).where(F.col("__lines") <= MAX_TRAIN_LINES // 20)
+    upto = F.sum("__lines").over(Window.orderBy(F.xxhash64("__id"), "__id"))  # over `sample` rows
+    return sized.withColumn("__upto", upto).where(F.col("__upto") <= MAX_TRAIN_LINES).select("__id", "__y")
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Chain:
+    """Fits the chain on a bounded sample of the labelled rows."""
+    marked = cut(sample_of(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample), "labelled-sample")
 
     def features(batches):
         for b in batches:
@@ -202,19 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .mapInPandas(features, "id long, y int, x binary, n binary")
     )
     width = 3 * OWN + 1
-    sized = rows.withColumn("lines", F.octet_length("n") / 8)
-    kept, total = [], 0
-    for r in sorted(sized.where(F.col("lines") <= MAX_TRAIN_LINES // 20).collect(), key=lambda r: (r["id"], r["x"])):
-        if (total := total + r["lines"]) > MAX_TRAIN_LINES:
-            break
-        kept.append(r)
+    kept = sorted(rows.collect(), key=lambda r: (r["id"], r["x"]))  # MAX_TRAIN_LINES lines at most
     x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, width) for r in kept]) if kept else np.zeros((0, width))
     lengths = np.concatenate([np.frombuffer(r["n"], np.float64) for r in kept]) if kept else np.zeros(0)
     return fit(x.astype(np.float64), lengths, np.array([len(r["n"]) // 8 for r in kept], int), np.array([r["y"] for r in kept], int))
 
 
 def score(docs: DataFrame, model: Chain, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score; every other column as it was."""
+    """docs with a score, in place of an input column of that name; every other column as it was."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     @F.pandas_udf("double")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -21,8 +22,8 @@ def brute_top_k(rows, is_query, k):
     for q, qs in v.items():
         if is_query(q):
             for a in qs:
-                s = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, bs in v.items() for b in bs if c != q)
-                out += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s[:k])]
+                s = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, bs in v.items() for b in bs if c != q and len(b) == len(a))
+                out += [(q, n + 1, c, min(max(-x, -(1 << 63)), (1 << 63) - 1)) for n, (x, c) in enumerate(s[:k])]
     return sorted(out)
 
 
@@ -43,15 +44,25 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors(spark, rows).limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def test_top_k_large_and_odd_vectors(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([1.0, -1.0]) * rng.choice([0.5, 3.0, 2.0**25, 2.0**25 + 4, 3e9, 1e20, 3e38]) for _ in range(3 if i % 7 else 2)]) for i in range(120)]
+    rows += [(i, [rng.random() for _ in range(3)]) for i in range(120, 200)] + [(300, []), (301, [1.0])]
+    got = topk_search.top_k(vectors(spark, rows), F.col("vec_id") % 20 == 0, 10, report=True).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top_k(rows, lambda i: i % 20 == 0, 10)
+    assert all(10 <= r.evaluated <= 202 for r in got if r.query_id % 7)
+
+
 def test_search_block_stops_early():
     rng = np.random.default_rng(3)
     c = np.concatenate([rng.integers(-5, 6, (3000, 16)) + 1000 * np.eye(16, dtype=int)[i % 16] for i in range(1)] + [rng.integers(-5, 6, (3000, 16))]).astype(np.int64)
     pivots = topk_search.choose_pivots(c[:500].astype(float), 16)
     far = topk_search._distances(c.astype(float), pivots)
+    c = c.astype(float)
     out, evaluated = topk_search.search_block(np.array([-1]), c[:1], far[:1], np.arange(len(c)), c, far, 10)
     s = c @ c[0]
     assert [x[2] for x in out] == sorted(s, reverse=True)[:10]
-    assert evaluated < len(c)
+    assert evaluated[-1] < len(c)
 
 
 # ---- quality
@@ -86,6 +97,49 @@ def test_quality_query(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def slow_score(text, model):
+    """One document, line by line, in plain Python."""
+    lines = text.split("\n")
+    own = [quality_crf.line_features(x) for x in lines]
+    none = [0.0] * quality_crf.OWN
+    u = [float(np.dot([1.0, *own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none)], model.weights)) for i in range(len(lines))]
+    log = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    m = model.moves
+    ahead, back = [(0.0, u[0])], [(0.0, 0.0)]
+    for x in u[1:]:
+        a = ahead[-1]
+        ahead.append((log(a[0] + m[0][0], a[1] + m[1][0]), x + log(a[0] + m[0][1], a[1] + m[1][1])))
+    for x in reversed(u[1:]):
+        b = back[-1]
+        back.append((log(m[0][0] + b[0], m[0][1] + x + b[1]), log(m[1][0] + b[0], m[1][1] + x + b[1])))
+    good = [1 / (1 + math.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, reversed(back))]
+    p = sum(g * (len(x) + 1) for g, x in zip(good, lines)) / sum(len(x) + 1 for x in lines)
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    z = min(max(math.log(p / (1 - p)), -12), 12)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * z)))
+
+
+def test_quality_query_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("crc32(cast(doc_id AS string)) % 3 != 1")
+    model = quality_crf.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op4_quality_crf(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - slow_score(texts[r.doc_id], model)) < 1e-4
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "MAX_TRAIN_LINES", 400)
+    docs = spark.createDataFrame([(i, "\n".join(["good words here"] * (i % 30 + 1)) if i % 2 else "$$ ##") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    chosen = quality_crf.sample_of(docs, labels).collect()
+    lines = {i: (i % 30 + 1 if i % 2 else 1) for i in range(200)}
+    assert 300 < sum(lines[r["__id"]] for r in chosen) <= 400 and all(lines[r["__id"]] <= 20 for r in chosen)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good text here", 9, 9), (2, "$$$ ### !!!", 9, 9), (3, None, 9, 9), (None, "", 9, 9), (4, "x\n" * 5000, 9, 9), (4, "x\n" * 5000, 9, 9)], "doc_id long, text string, y int, id int")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
