@@ -5,10 +5,11 @@ becomes that sentence's identifier. The identifiers of a text, in order, are the
 sequence names its licence and takes those identifiers away, so a longer rule shuts out the shorter ones that follow.
 
 A sentence ends at one of . ! ? ; before white space, at a colon before a line's end, or at an empty line. A sentence that isn't known as a whole is looked at line by
-line as well, for lines without a full stop. Copyright lines are recognised by pattern, as holders and years vary.
+line as well, for lines without a full stop. Copyright lines and sentences that name a holder are recognised by pattern. An SPDX line gives the licences
+of its expression. Sentences are compared in normal form only, whatever their length or spacing.
 
 Edge cases: null and empty texts have no sentences and no licences; a licence that is stated twice is named once; repeated rows each get
-their result; other columns of the input are carried through.
+their result; other columns of the input are carried through, but for sentence_ids and licenses, which are replaced.
 """
 
 from __future__ import annotations
@@ -71,10 +72,66 @@ ccbync-short | Licensed under CC BY-NC 4.0.
 ccbync-short | This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
 cc0-short | To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.
 reserved | All rights reserved.
-spdx-mit | SPDX-License-Identifier: MIT
-spdx-apache2 | SPDX-License-Identifier: Apache-2.0
-spdx-gpl3 | SPDX-License-Identifier: GPL-3.0-only
-spdx-bsd3 | SPDX-License-Identifier: BSD-3-Clause
+apache2-name | Apache License
+apache2-version | Version 2.0, January 2004 http://www.apache.org/licenses/
+apache2-terms | TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+apache2-license-def | "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
+apache2-licensor-def | "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.
+apache2-copyright-grant | Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.
+apache2-trademarks | This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file.
+apache2-end | END OF TERMS AND CONDITIONS
+gpl-name | GNU GENERAL PUBLIC LICENSE
+lgpl-name | GNU LESSER GENERAL PUBLIC LICENSE
+agpl-name | GNU AFFERO GENERAL PUBLIC LICENSE
+gpl3-version | Version 3, 29 June 2007
+agpl3-version | Version 3, 19 November 2007
+gpl2-version | Version 2, June 1991
+lgpl21-version | Version 2.1, February 1999
+gpl-verbatim | Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+gpl3-preamble | The GNU General Public License is a free, copyleft license for software and other kinds of works.
+agpl3-preamble | The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.
+lgpl3-incorporates | This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.
+gpl2-preamble | The licenses for most software are designed to take away your freedom to share and change it.
+gpl2-only | you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.
+lgpl-short | This library is licensed under the GNU Lesser General Public License.
+lgpl3-short | Licensed under the GNU Lesser General Public License, version 3.
+lgpl21-short | Licensed under the GNU Lesser General Public License, version 2.1.
+lgpl-free | This library is free software;
+lgpl-redistribute | you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;
+lgpl21-later | either version 2.1 of the License, or (at your option) any later version.
+lgpl3-later | either version 3 of the License, or (at your option) any later version.
+lgpl-hope | This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+lgpl-see | See the GNU Lesser General Public License for more details.
+agpl3-later | This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+agpl3-short | Licensed under the GNU Affero General Public License, version 3.
+mpl2-short | Licensed under the Mozilla Public License, Version 2.0.
+mpl2-short | Licensed under the Mozilla Public License 2.0.
+mpl2-name | Mozilla Public License Version 2.0
+mpl2-copy | If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.
+mpl2-copy | If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
+epl2-name | Eclipse Public License - v 2.0
+epl2-short | This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+epl2-short | Licensed under the Eclipse Public License 2.0.
+bsl1-name | Boost Software License - Version 1.0 - August 17th, 2003
+bsl1-short | Distributed under the Boost Software License, Version 1.0.
+bsl1-grant | Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+unlicense-domain | This is free and unencumbered software released into the public domain.
+unlicense-free | Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+zlib-asis | This software is provided 'as-is', without any express or implied warranty.
+zlib-damages | In no event will the authors be held liable for any damages arising from the use of this software.
+zlib-grant | Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+isc-warranty | THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+isc-short | Licensed under the ISC License.
+wtfpl-do | You just DO WHAT THE FUCK YOU WANT TO.
+psf2-grant | Subject to the terms and conditions of this License Agreement, PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly, prepare derivative works, distribute, and otherwise use Python alone or in any derivative version, provided, however, that PSF's License Agreement and PSF's notice of copyright are retained in Python alone or in any derivative version prepared by Licensee.
+bsd-warranty | THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+bsd-short | Licensed under the BSD License.
+bsd3-name | BSD 3-Clause License
+bsd2-name | BSD 2-Clause License
+ccby-short | This work is licensed under the Creative Commons Attribution 4.0 International License.
+ccbysa-short | This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.
+ccbync-short | This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.
+cc0-name | CC0 1.0 Universal
 """
 
 #: The rules in order, as licence and sequence of sentence identifiers.
@@ -83,34 +140,77 @@ MIT | mit-grant mit-notice mit-warranty mit-liability
 MIT | mit-grant mit-notice mit-warranty
 MIT | mit-grant mit-notice
 MIT | mit-short
-MIT | spdx-mit
 Apache-2.0 | apache2-head apache2-comply apache2-copy apache2-url apache2-asis apache2-see
 Apache-2.0 | apache2-head apache2-comply apache2-copy
 Apache-2.0 | apache2-head apache2-comply
+Apache-2.0 | apache2-license-def apache2-licensor-def
+Apache-2.0 | apache2-copyright-grant
 Apache-2.0 | apache2-short
-Apache-2.0 | spdx-apache2
+AGPL-3.0-or-later | agpl3-later
+AGPL-3.0 | agpl-name agpl3-version
+AGPL-3.0 | agpl3-preamble
+AGPL-3.0 | agpl3-short
+LGPL-2.1-or-later | lgpl-free lgpl-redistribute lgpl21-later
+LGPL-3.0-or-later | lgpl-free lgpl-redistribute lgpl3-later
+LGPL-3.0 | lgpl-name gpl3-version gpl-verbatim lgpl3-incorporates
+LGPL-3.0 | lgpl-name gpl3-version
+LGPL-2.1 | lgpl-name lgpl21-version
+LGPL-3.0 | lgpl3-incorporates
+LGPL-3.0 | lgpl3-short
+LGPL-2.1 | lgpl21-short
+LGPL | lgpl-short
 GPL-3.0-or-later | gpl3-later gpl-hope gpl-implied gpl-see gpl-copy
 GPL-3.0-or-later | gpl3-later
 GPL-2.0-or-later | gpl-free gpl-redistribute gpl2-later gpl-hope gpl-implied gpl-see gpl-copy
 GPL-2.0-or-later | gpl-free gpl-redistribute gpl2-later
+GPL-3.0-or-later | gpl-free gpl-redistribute lgpl3-later
+GPL-2.0-only | gpl-free gpl2-only
+GPL-3.0 | gpl-name gpl3-version
+GPL-2.0 | gpl-name gpl2-version
+GPL-3.0 | gpl3-preamble
 GPL-3.0 | gpl3-short
-GPL-3.0 | spdx-gpl3
 GPL-2.0 | gpl2-short
 BSD-3-Clause | bsd-grant bsd-source bsd-binary bsd-name
 BSD-3-Clause | bsd3-short
-BSD-3-Clause | spdx-bsd3
 BSD-2-Clause | bsd-grant bsd-source bsd-binary
 BSD-2-Clause | bsd2-short
+BSD | bsd-short
+ISC | isc-grant isc-warranty
 ISC | isc-grant
+ISC | isc-short
+MPL-2.0 | mpl2 mpl2-copy
 MPL-2.0 | mpl2
+MPL-2.0 | mpl2-name
+MPL-2.0 | mpl2-short
+EPL-2.0 | epl2-name
+EPL-2.0 | epl2-short
+BSL-1.0 | bsl1-name bsl1-grant
+BSL-1.0 | bsl1-grant
+BSL-1.0 | bsl1-short
+Unlicense | unlicense-domain unlicense-free
+Unlicense | unlicense-domain
+Zlib | zlib-asis zlib-damages zlib-grant
+Zlib | zlib-grant
+WTFPL | wtfpl-do
+PSF-2.0 | psf2-grant
 CC-BY-SA-4.0 | ccbysa-short
 CC-BY-NC-4.0 | ccbync-short
 CC-BY-4.0 | ccby-short
 CC0-1.0 | cc0-short
+CC0-1.0 | cc0-name
 MIT | mit-name
+BSD-3-Clause | bsd3-name
+BSD-2-Clause | bsd2-name
 proprietary | copyright reserved
 """
 
+#: Sentences that name a holder, as identifier, first words and pattern of the normal form.
+PATTERNS = """
+bsd-name | neither the name | neither the names? of .+ nor the names of (its|any|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-name | the name of | the name of .+ may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-warranty | this software is provided | this software is provided by .+ as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+"""
+
 
 #: Where a sentence ends.
 SENTENCE_END = r"(?<=[.!?;])\s+|(?<=:)\s*\n\s*|\n\s*\n"
@@ -139,28 +239,37 @@ def _normal(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order. An SPDX line gives spdx:ID for each licence of its expression."""
     known = known or known_sentences()
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    shortest, longest = min(map(len, known)), max(map(len, known))
+    sizes = sorted({len(x) for x in known})
+    patterns = [tuple(x.strip() for x in line.split("|", 2)) for line in PATTERNS.strip().splitlines()]
+
+    def formed(sentences: Column) -> Column:
+        return F.transform(sentences, lambda x: F.struct(x.alias("raw"), _normal(x).alias("form")))
 
-    def name(sentence: Column) -> Column:
-        form = _normal(sentence)
-        plain = F.when(F.length(sentence).between(shortest, 3 * longest), F.element_at(names, form))
-        return F.coalesce(plain, F.when((F.length(sentence) < 400) & sentence.rlike(r"(?i)^\W*(copyright|\(c\)|©)\W.*\b(19|20)\d\d\b"), F.lit("copyright")))
+    def names_of(s: Column) -> Column:
+        form, raw = s["form"], s["raw"]
+        found = F.when(F.length(form).isin(sizes), F.element_at(names, form))  # lengths first, by hash: few sentences reach the map
+        for name, head, pattern in patterns:
+            found = F.coalesce(found, F.when(form.startswith(head) & form.rlike(f"^{pattern}$"), F.lit(name)))
+        found = F.coalesce(found, F.when((form.startswith("copyright ") | form.startswith("c ")) & raw.rlike(r"(?i)^\W*(copyright|\(c\)|©)\W.*\b(19|20)\d\d\b"), F.lit("copyright")))
+        expression = F.regexp_extract(raw, r"(?i)SPDX-License-Identifier:\s*([^\n]+)", 1)
+        spdx = F.transform(F.filter(F.split(expression, r"[\s()*/#;,<>]+"), lambda x: x.rlike(r"^[A-Za-z0-9][A-Za-z0-9.+-]*$") & ~F.upper(x).isin("AND", "OR", "WITH")), lambda x: F.concat(F.lit("spdx:"), x))
+        return F.when(found.isNotNull(), F.array(found)).when(form.contains("spdx license identifier"), spdx)
 
-    def names_of(sentence: Column) -> Column:
-        whole = name(sentence)
-        return F.when(whole.isNotNull(), F.array(whole)).when(sentence.contains("\n"), F.transform(F.split(sentence, "\n"), name)).otherwise(F.array(whole))
+    def lines_of(s: Column) -> Column:
+        whole = names_of(s)
+        return F.when(whole.isNotNull() | ~s["raw"].contains("\n"), whole).otherwise(F.flatten(F.filter(F.transform(formed(F.split(s["raw"], "\n")), names_of), lambda x: x.isNotNull())))
 
-    sentences = F.split(text, SENTENCE_END)
-    return F.filter(F.flatten(F.transform(sentences, names_of)), lambda x: x.isNotNull())
+    sentences = formed(F.split(text, SENTENCE_END))
+    return F.flatten(F.filter(F.transform(sentences, lines_of), lambda x: x.isNotNull()))
 
 
 def match_rules(ids: Column, ordered: list[tuple[str, list[str]]] | None = None) -> Column:
-    """Licences that the rules find in a sequence of identifiers."""
+    """Licences that the rules find in a sequence of identifiers, then those that SPDX lines name."""
     table = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit("".join(f"<{x}>" for x in seq)).alias("seq")) for licence, seq in ordered or rules()])
-    start = F.struct(F.concat(F.lit(""), F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")).alias("left"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:
         hit = acc["left"].contains(rule["seq"])
@@ -169,10 +278,11 @@ def match_rules(ids: Column, ordered: list[tuple[str, list[str]]] | None = None)
             F.when(hit, F.array_union(acc["found"], F.array(rule["licence"]))).otherwise(acc["found"]).alias("found"),
         )
 
-    return F.aggregate(table, start, step, lambda acc: acc["found"])
+    spdx = F.transform(F.filter(ids, lambda x: x.startswith("spdx:")), lambda x: F.substring(x, F.lit(6), F.length(x)))
+    return F.array_union(F.aggregate(table, start, step, lambda acc: acc["found"]), spdx)
 
 
 def scan_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with sentence_ids and licenses (arrays of text)."""
+    """docs with sentence_ids and licenses (arrays of text), in place of input columns of these names."""
     out = docs.withColumn("sentence_ids", sentence_ids(text_of(text_col)))
     return out.withColumn("licenses", F.when(F.size("sentence_ids") > 0, match_rules(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")))

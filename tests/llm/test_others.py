@@ -1,5 +1,6 @@
 """Top-k search, quality classifier, licence scan, chat formatting and the pipeline."""
 
+import glob
 import hashlib
 import math
 import random
@@ -180,9 +181,33 @@ def test_licenses(spark):
         "Copyright 2001 Someone. All rights reserved.",
         "// SPDX-License-Identifier: MIT",
         "The word licence alone. " * 2000,
+        "Licensed under the MIT License" + " " * 3000 + ".",
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */",
+        "Neither the name of the Examples Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This is free and unencumbered software released into the public domain.",
     ]
     got = scan(spark, texts)
-    assert got == [[], [], ["MIT"], ["MIT"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["GPL-2.0-or-later"], ["GPL-3.0-or-later"], ["Apache-2.0", "CC-BY-NC-4.0"], ["GPL-3.0"], ["proprietary"], ["MIT"], []]
+    assert got == [[], [], ["MIT"], ["MIT"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["GPL-2.0-or-later"], ["GPL-3.0-or-later"], ["Apache-2.0", "CC-BY-NC-4.0"], ["GPL-3.0"], ["proprietary"], ["MIT"], [], ["MIT"], ["GPL-2.0-only", "Linux-syscall-note", "BSD-3-Clause"], [], ["Unlicense"]]
+
+
+def test_licenses_of_installed_packages(spark):
+    """Licence files as their authors wrote them."""
+    found = {}
+    for path in glob.glob("/opt/py313/lib/python3.13/site-packages/*/**/LICENSE*", recursive=True):
+        text = open(path, encoding="utf-8", errors="replace").read()
+        start = " ".join(text.lower().split())[:4000]
+        want = (
+            "MIT" if "permission is hereby granted, free of charge, to any person obtaining a copy of this software and" in start and "the above copyright notice and this permission notice shall be included in all" in start and len(start) < 1400
+            else "BSD-3-Clause" if "redistributions of source code must retain the above" in start and "neither the name" in start and len(start) < 1900
+            else "Apache-2.0" if start.startswith("apache license version 2.0, january 2004") else None
+        )
+        if want:
+            found[text] = want
+    if not found:
+        pytest.skip("no licence files here")
+    got = scan(spark, list(found))
+    missed = [(want, text[:60]) for (text, want), x in zip(found.items(), got) if want not in x]
+    assert len(missed) <= len(found) // 10, missed
 
 
 def test_license_query_brute_force(spark, sf):
@@ -223,7 +248,8 @@ def test_chat(spark):
 # ---- pipeline
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
-    from test_dedup import brute_components, brute_fingerprint, brute_lines
+    from test_dedup import brute_lines
+    from test_near_copies import brute_gone
 
     assert [n for n, _ in p.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -240,10 +266,9 @@ def test_pipeline(spark, sf):
         if left.strip():
             want[r.doc_id] = left
     assert {r.doc_id: r.text for r in lines.collect()} == want
-    ids = sorted(want)
-    roots = brute_components([brute_fingerprint(want[i]) for i in ids])
-    least = [ids[k] for k, c in enumerate(roots) if c == k]
+    copies = {i for i, _ in brute_gone(sorted(want.items()))}
+    least = sorted(set(want) - copies)
     near = p.drop_near_copies(spark, lines, sf)
     assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == least
     out = p.run(spark, sf).collect()
-    assert {r.doc_id for r in out} == set(least)
+    assert {r.doc_id for r in out} == set(least) and all(len(r.ids) == 4 * r.length for r in out)
