@@ -5,9 +5,10 @@ at that similarity, where a trie can't turn back early. So the trie join's links
 from prefixes. All shingles are put in one order. Of two sets that are so similar, the first (1 - similarity) * n + 1 shingles of each, its prefix,
 have a shingle in common. So documents that share a prefix shingle are the candidates, and each link, the trie's too, is verified on whole sets.
 
-The order only decides how much work there is: shingles that are frequent in a sample of the documents come last, the others by hash. Documents of
-one prefix shingle first meet one leader each, another in every round, and groups that have become one component rest. What still meets across
-components after these rounds is compared pair by pair, so no pair is left out.
+The order only decides how much work there is: shingles that are frequent in a sample of the documents come last, the others by hash. A prefix
+shingle that no other set has can't be in common, and what stands before and after a common one bounds what two sets can share: pairs that can't
+reach the similarity are left out. Documents of one prefix shingle first meet one leader, another in every round, and groups that have become one
+component rest. What can still be a link across components after these rounds is compared pair by pair, so no link is left out.
 
 Only prefixes are kept for every document; whole sets are made again from the texts that have a candidate. Sets hold 32 bits of each shingle's hash there:
 two sets of n shingles are expected to agree by chance in n * n / 2**32 of them (0.0001 for 600 words).
@@ -23,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lapwing.llm.common import cut, text_of
 
@@ -109,14 +111,35 @@ def _whole(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInPandas(each, "sig long, n int, hs array<int>")
 
 
+def _candidates(marked: DataFrame, similarity: float) -> DataFrame:
+    """sig, h, n, i, u, most, root: prefix shingles that different sets share. i: place in the order; u: shared ones before it; most: shingles that the set can have in common with any other."""
+    prefix = marked.where("n > 0").select("sig", "n", F.posexplode("hs").alias("i", "h"))
+    shared = prefix.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
+    met = prefix.join(shared, "h", "left_semi").distinct()
+    own = Window.partitionBy("sig")  # the prefix of one set
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    met = met.withColumn("u", F.row_number().over(own.orderBy("i")) - 1).withColumn("most", F.col("n") - length + F.count(F.lit(1)).over(own).cast("int"))
+    least = met.groupBy("h").agg(F.min("n").alias("least"))
+    return cut(met.join(least, "h").where(F.col("most") >= _needed("n", "least", similarity)).select("sig", "h", "n", "i", "u", "most", F.col("sig").alias("root")), "near-prefixes")
+
+
+def _needed(n: str, m: str, similarity: float):
+    """Shingles in common that two sets of these sizes need, less what rounding may take."""
+    return F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9
+
+
+def _possible(x: str, y: str, similarity: float):
+    """Whether two rows of candidates with one shingle can belong to near copies: shared ones before it, itself, and what follows."""
+    upto = F.least(f"{x}.u", f"{y}.u") + 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i")) - 1
+    return F.least(upto, f"{x}.most", f"{y}.most") >= _needed(f"{x}.n", f"{y}.n", similarity)
+
+
 def links(docs: DataFrame, marked: DataFrame, settled: DataFrame, components, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: links between sigs of sets that connect all pairs of at least that similarity.
 
     docs: doc_id, t, text; marked: their prefixes; settled: pairs a, b of sigs that are likely near, tried first; components: as simhash_dedup has it.
     """
-    prefix = marked.where("n > 0").select("sig", "n", F.explode("hs").alias("h"))
-    shared = prefix.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
-    met = cut(prefix.join(shared, "h", "left_semi").distinct(), "near-prefixes")
+    met = _candidates(marked, similarity)
     some = marked.join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("t", "doc_id")).alias("m")).select("sig", F.col("m.t").alias("mt"), F.col("m.doc_id").alias("mid"))
     texts = docs.join(some, (docs.t == some.mt) & docs.doc_id.eqNullSafe(some.mid)).select("sig", "text")
     whole = cut(_whole(texts, words).dropDuplicates(["sig"]), "near-sets")
@@ -127,27 +150,27 @@ def links(docs: DataFrame, marked: DataFrame, settled: DataFrame, components, wo
         full = pairs.join(a, "a").join(b, "b").withColumn("common", common)
         return full.where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select("a", "b")
 
-    def near(x: str, y: str):
-        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-
     found = cut(verified(settled.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near-links")
     left = _unsettled(met, found, components)
     for k in range(ROUNDS):
         if left.isEmpty():
             return found
-        leader = left.groupBy("h").agg(F.min(F.struct(F.xxhash64("sig", F.lit(k)), F.col("sig"), F.col("n"), F.col("root"))).alias("m"))
-        star = left.join(leader, "h").where(F.col("root") != F.col("m.root")).where(near("n", "m.n")).select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
+        # One leader for each shingle: first the set with the fewest shingles of its own, then any. One pair for each set.
+        rank = F.struct((F.col("n") - F.col("most") if k == 0 else F.lit(0)).alias("own"), F.xxhash64("sig", F.lit(k)).alias("rank"), *left.columns)
+        leader = left.groupBy("h").agg(F.min(rank).alias("m")).select(F.col("h").alias("mh"), "m")
+        star = left.alias("x").join(leader, (F.col("x.h") == F.col("mh")) & (F.col("x.root") != F.col("m.root")) & _possible("x", "m", similarity))
+        star = star.groupBy("sig").agg(F.min(F.struct("m.own", "m.rank", "m.sig")).alias("m")).select(F.least("sig", "m.sig").alias("a"), F.greatest("sig", "m.sig").alias("b")).distinct()
         found = cut(found.unionByName(verified(star)), "near-links")
         left = _unsettled(left, found, components)
-    one, two = left.select("h", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = one.join(two, "h").where("a < b AND ra != rb").where(near("na", "nb")).select("a", "b").distinct()
-    return found.unionByName(verified(rest))
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", similarity))
+    return found.unionByName(verified(rest.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()))
 
 
 def _unsettled(met: DataFrame, found: DataFrame, components) -> DataFrame:
     """Rows of met, with their components, where a prefix shingle still joins several components."""
     roots = components(found)
-    now = met.drop("root").join(roots, met.sig == roots.node, "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    now = met.drop("root").join(roots, met.sig == roots.node, "left").select("sig", "h", "n", "i", "u", "most", F.coalesce("root", "sig").alias("root"))
     open_ = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
     return cut(now.join(open_, "h", "left_semi"), "near-open")
 
