@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lapwing.plans import feeds, identities, leaderboards, performances, records, relations
+from lapwing.plans import audits, feeds, identities, leaderboards, performances, records, relations
 
-MODULES = (feeds, identities, leaderboards, performances, records, relations)
+MODULES = (audits, feeds, identities, leaderboards, performances, records, relations)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
