@@ -381,8 +381,8 @@ ORACLE_SQL = {
     "J36_pairs_of_two": "SELECT one, two, count(*) AS n, sum(p)::BIGINT AS n_parts FROM (SELECT min(l_suppkey) AS one, max(l_suppkey) AS two, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 2) GROUP BY 1, 2",
     "J37_head_to_head": f"{_E}, r AS (SELECT gender, event, date_trunc('year', day)::DATE AS day, x, {_ROUND} AS r, round AS raw FROM e), t AS ({_tier(0, 'raw', 'raw')} UNION ALL {_tier(1, 'round', 'r')} UNION ALL {_tier(2, 'day', '')}) SELECT event, day, tier, races, wins FROM t QUALIFY row_number() OVER (PARTITION BY event, day ORDER BY k) = 1",
     "J42a_window_candidates": f"""{_E}, k AS (SELECT *, {_MEET_KEY} AS mk FROM e), m AS (SELECT mk, day, min(id) AS meet_id, min(location) AS spot FROM k WHERE location IS NOT NULL AND meet IS NOT NULL GROUP BY ALL),
-        g AS (SELECT k.id, count(*) AS n, min(meet_id) AS only, count(*) FILTER (spot = location) AS here, min(meet_id) FILTER (spot = location) AS at_place FROM k JOIN m ON k.mk = m.mk AND abs(date_diff('day', k.day, m.day)) <= 7 WHERE k.place IS NULL AND k.meet IS NOT NULL GROUP BY k.id)
-        SELECT id, CASE WHEN n = 1 THEN only WHEN here = 1 THEN at_place END AS meet_id, CASE WHEN n = 1 THEN 'only' WHEN here = 1 THEN 'place' ELSE 'ambiguous' END AS how FROM g""",
+        g AS (SELECT k.id, count(*) AS n, min(meet_id) AS lone, count(*) FILTER (spot = location) AS here, min(meet_id) FILTER (spot = location) AS at_place FROM k JOIN m ON k.mk = m.mk AND abs(date_diff('day', k.day, m.day)) <= 7 WHERE k.place IS NULL AND k.meet IS NOT NULL GROUP BY k.id)
+        SELECT id, CASE WHEN n = 1 THEN lone WHEN here = 1 THEN at_place END AS meet_id, CASE WHEN n = 1 THEN 'only' WHEN here = 1 THEN 'place' ELSE 'ambiguous' END AS how FROM g""",
     "J42b_chosen_athletes": f"""{_E}, r AS (SELECT id, athlete, {_NAME_KEY.format('name')} AS k, {_TEAM} AS t FROM e WHERE {_NAME_KEY.format('name')} <> ''),
         m AS (SELECT id, (SELECT min(b.athlete) FROM r b WHERE b.athlete % 3 <> 0 AND b.k = a.k AND b.t = a.t HAVING count(DISTINCT b.athlete) = 1) AS s, (SELECT min(b.athlete) FROM r b WHERE b.athlete % 3 <> 0 AND b.k = a.k HAVING count(DISTINCT b.athlete) = 1) AS o FROM r a WHERE a.athlete % 3 = 0)
         SELECT id, coalesce(s, o) AS athlete, CASE WHEN s IS NOT NULL THEN 'team' WHEN o IS NOT NULL THEN 'only' ELSE 'none' END AS how FROM m""",
