@@ -5,63 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distances by the word that follows "meter", then hurdles and relay legs.
-DASHES = [55, 60, 100, 200, 300, 400]
-PLAIN = [500, 600]
-RUNS = [800, 1000, 1500, 3000, 5000, 10000]
-HURDLES = [55, 60, 100, 110, 400]
-RELAYS = [100, 200, 400, 800]
-
-#: Names that no rule yields.
-OTHER_NAMES = {
-    "Mile": ["mile", "mile run", "1 mile", "1 mile run"],
-    "600y": ["600y", "600 y"],
-    "3200m": ["3200", "3200m", "3200 m"],
-    "5000m": ["5k"],
-    "10,000m": ["10,000", "10,000 meters", "10,000 meter run", "10k"],
-    "3000m SC": ["3000s", "3000 steeplechase", "3000 meter steeplechase", "3000m steeplechase", "3000m sc", "steeplechase", "steeple", "sc"],
-    "DMR": ["dmr", "distance medley relay", "distance medley"],
-    "SMR": ["smr", "sprint medley relay", "sprint medley"],
-    "High Jump": ["high jump", "hj"],
-    "Long Jump": ["long jump", "lj"],
-    "Triple Jump": ["triple jump", "tj"],
-    "Pole Vault": ["pole vault", "pv"],
-    "Shot Put": ["shot put", "sp", "shot"],
-    "Discus": ["discus", "discus throw", "dt"],
-    "Hammer": ["hammer", "hammer throw", "ht"],
-    "Javelin": ["javelin", "javelin throw", "jt"],
-    "Weight Throw": ["weight throw", "weight", "wt"],
-    "Heptathlon": ["heptathlon", "hep"],
-    "Decathlon": ["decathlon", "dec"],
-    "Pentathlon": ["pentathlon", "pent"],
-    "4k XC": ["4k", "4k (xc)"],
-    "5k XC": ["5k (xc)"],
-    "6k XC": ["6k", "6k (xc)"],
-    "8k XC": ["8k", "8k (xc)"],
-    "10k XC": ["10k (xc)"],
-}
-
-#: Words at the end of a name that tell the meet or the round, in the order in which they are taken off.
-TRAILING = [r"\s+invitational$", r"\s+inv\.?$", r"\s+championship$", r"\s+prelim(inary|s)?$", r"\s+final(s)?$", r"\s+heat\s*\d*$"]
+#: Each event's display name, and the spellings under which it is known (; stands for a comma in a number).
+SPELLINGS = """
+55m: 55, 55.0, 55m, 55 m, 55 meters, 55 meter dash
+60m: 60, 60.0, 60m, 60 m, 60 meters, 60 meter dash
+100m: 100, 100.0, 100m, 100 m, 100 meters, 100 meter dash
+200m: 200, 200.0, 200m, 200 m, 200 meters, 200 meter dash
+300m: 300, 300.0, 300m, 300 m, 300 meters, 300 meter dash
+400m: 400, 400.0, 400m, 400 m, 400 meters, 400 meter dash
+500m: 500, 500.0, 500m, 500 m, 500 meters
+600m: 600, 600.0, 600m, 600 m, 600 meters
+800m: 800, 800.0, 800m, 800 m, 800 meters, 800 meter run
+1000m: 1000, 1000.0, 1000m, 1000 m, 1000 meters, 1000 meter run
+1500m: 1500, 1500.0, 1500m, 1500 m, 1500 meters, 1500 meter run
+3000m: 3000, 3000.0, 3000m, 3000 m, 3000 meters, 3000 meter run
+5000m: 5000, 5000.0, 5000m, 5000 m, 5000 meters, 5000 meter run, 5k
+10,000m: 10000, 10000.0, 10000m, 10000 m, 10000 meters, 10000 meter run, 10;000, 10;000 meters, 10;000 meter run, 10k
+55m H: 55h, 55 hurdles, 55 meter hurdles, 55m hurdles, 55m h
+60m H: 60h, 60 hurdles, 60 meter hurdles, 60m hurdles, 60m h
+100m H: 100h, 100 hurdles, 100 meter hurdles, 100m hurdles, 100m h
+110m H: 110h, 110 hurdles, 110 meter hurdles, 110m hurdles, 110m h
+400m H: 400h, 400 hurdles, 400 meter hurdles, 400m hurdles, 400m h
+4x100m: 4x100, 4x100m, 4x100 relay, 4x100 meter relay, 4x100m relay
+4x200m: 4x200, 4x200m, 4x200 relay, 4x200 meter relay, 4x200m relay
+4x400m: 4x400, 4x400m, 4x400 relay, 4x400 meter relay, 4x400m relay
+4x800m: 4x800, 4x800m, 4x800 relay, 4x800 meter relay, 4x800m relay
+Mile: mile, mile run, 1 mile, 1 mile run
+600y: 600y, 600 y
+3200m: 3200, 3200m, 3200 m
+3000m SC: 3000s, 3000 steeplechase, 3000 meter steeplechase, 3000m steeplechase, 3000m sc, steeplechase, steeple, sc
+DMR: dmr, distance medley relay, distance medley
+SMR: smr, sprint medley relay, sprint medley
+High Jump: high jump, hj
+Long Jump: long jump, lj
+Triple Jump: triple jump, tj
+Pole Vault: pole vault, pv
+Shot Put: shot put, sp, shot
+Discus: discus, discus throw, dt
+Hammer: hammer, hammer throw, ht
+Javelin: javelin, javelin throw, jt
+Weight Throw: weight throw, weight, wt
+Heptathlon: heptathlon, hep
+Decathlon: decathlon, dec
+Pentathlon: pentathlon, pent
+4k XC: 4k, 4k (xc)
+5k XC: 5k (xc)
+6k XC: 6k, 6k (xc)
+8k XC: 8k, 8k (xc)
+10k XC: 10k (xc)
+"""
+
+#: Words at the end of a name that tell the meet or the round.
+TRAILING = ["invitational", "inv", "inv.", "championship", "prelim", "prelims", "preliminary", "final", "finals"]
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def spellings() -> dict[str, str]:
-    """Known spelling in lower case: canonical name."""
-    label = lambda d: "10,000m" if d == 10000 else f"{d}m"
-    out = {}
-    for group, tail in ((DASHES, "dash"), (PLAIN, None), (RUNS, "run")):
-        for d in group:
-            forms = [f"{d}", f"{d}.0", f"{d}m", f"{d} m", f"{d} meters"] + ([f"{d} meter {tail}"] if tail else [])
-            out |= dict.fromkeys(forms, label(d))
-    for d in HURDLES:
-        out |= dict.fromkeys([f"{d}h", f"{d} hurdles", f"{d} meter hurdles", f"{d}m hurdles", f"{d}m h"], f"{d}m H")
-    for d in RELAYS:
-        out |= dict.fromkeys([f"4x{d}{x}" for x in ("", "m", " relay", " meter relay", "m relay")], f"4x{d}m")
-    for name, forms in OTHER_NAMES.items():
-        out |= dict.fromkeys(forms, name)
-    return out
+    """Known spelling in lower case: display name."""
+    lines = [line.split(":", 1) for line in SPELLINGS.strip().splitlines()]
+    return {form.strip().replace(";", ","): name for name, forms in lines for form in forms.split(",")}
 
 
 def _known(text: Column) -> Column:
@@ -74,36 +77,58 @@ def _once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
+def _ungendered(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?i)^(wo)?men('s|s|')?\s+", "")
+
+
 def event_label(name: Column) -> Column:
-    """Display name of an event: known spellings, without words of meet and round and without Men's or Women's; (I) and (O) stay. Unknown names come back as they are."""
-    base = F.trim(F.lower(F.regexp_replace(name, r"\s*\((I|O)\)$", "")))
-    for words in TRAILING:
-        base = F.regexp_replace(base, words, "")
-    base = F.regexp_replace(F.trim(base), r"^(\d+)\s+m$", "$1m")
-    ungendered = lambda b: F.regexp_replace(b, r"^(men'?s?|women'?s?)\s+", "")
-    found = _once(base, lambda b: F.coalesce(_known(b), F.when(b.rlike(r"^\d+m$"), b), _known(ungendered(b))))
-    return F.coalesce(F.concat(found, F.regexp_replace(F.regexp_extract(name, r"\s*\((I|O)\)$", 1), "^(.)$", " ($1)")), name)
-
-
-def _short_rules() -> list[tuple[str, str]]:
-    """Pattern of a whole name: canonical name, as result pages use them."""
-    out = [(rf"{d}\s*(meters?|m|meter\s*dash)?", f"{d}m") for d in (60, 200, 300, 400)]
-    out += [(rf"{d}\s*(meters?|m|meter\s*run)?", f"{d}m") for d in (600, 800, 1000, 1500, 3000, 5000)]
-    out += [(r"10,?000\s*(meters?|m|meter\s*run)?", "10000m"), (r"(1\s*)?mile(\s*run)?", "Mile")]
-    out += [(rf"{d}\s*(m\s*)?(hurdles?|h|meter\s*hurdles?)", f"{d}m H") for d in (60, 100, 110, 400)]
-    out += [(r"(3000\s*(m\s*)?)?steeplechase", "3000m SC")]
-    out += [(x.lower().replace(" ", r"\s*"), x) for x in ("High Jump", "Long Jump", "Triple Jump", "Pole Vault", "Shot Put")]
-    out += [(rf"{x.lower()}(\s*throw)?", x) for x in ("Discus", "Hammer", "Javelin")] + [(r"weight\s*throw|wt", "Weight Throw")]
-    out += [(rf"4\s*x\s*{d}\s*(m|meters?)?\s*(relay)?", f"4x{d}m") for d in RELAYS]
-    out += [(r"distance\s*medley\s*relay|dmr", "DMR"), (r"sprint\s*medley\s*relay|smr", "SMR")]
-    return out + [(x.lower(), x) for x in ("Heptathlon", "Decathlon", "Pentathlon")]
+    """Display name of an event: known spellings, without words of meet and round at the end and without Men's or Women's; (I) and (O) stay. Unknown names come back as they are."""
+    place = F.regexp_extract(name, r"\(([IO])\)$", 1)
+    words = "|".join(w.replace(".", r"\.") for w in TRAILING)
+    event = F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"\s*\([IO]\)$", "")), rf"(\s+({words}|heat\s*\d*))+\s*$", ""))
+
+    def named(e: Column) -> Column:
+        metres = F.regexp_extract(e, r"^(\d+)\s*m$", 1)
+        return F.coalesce(_known(e), F.when(metres != "", F.concat(metres, F.lit("m"))), _known(_ungendered(e)))
+
+    return F.coalesce(F.concat(_once(event, named), F.when(place == "", "").otherwise(F.concat(F.lit(" ("), place, F.lit(")")))), name)
+
+
+#: Words of event names on result pages that mean the same.
+SAME_WORDS = {"meter": "m", "meters": "m", "hurdle": "hurdles", "h": "hurdles", "mh": "m hurdles"}
+
+
+def event_signatures() -> dict[str, str]:
+    """What a name on a result page comes to, number by number and word by word, and the event it means."""
+    out = {}
+    for distances, pace in (((60, 200, 300, 400), "dash"), ((600, 800, 1000, 1500, 3000, 5000, 10000), "run")):
+        for d in distances:
+            out |= {f"{d}": f"{d}m", f"{d} m": f"{d}m", f"{d} m {pace}": f"{d}m"}
+    for d in (60, 100, 110, 400):
+        out |= {f"{d} hurdles": f"{d}m H", f"{d} m hurdles": f"{d}m H"}
+    for d in (100, 200, 400, 800):
+        out |= {f"4 x {d}{m}{r}": f"4x{d}m" for m in ("", " m") for r in ("", " relay")}
+    out |= {f"{one}mile{run}": "Mile" for one in ("", "1 ") for run in ("", " run")}
+    out |= {f"{d}steeplechase": "3000m SC" for d in ("", "3000 ", "3000 m ")}
+    for name in ("High Jump", "Long Jump", "Triple Jump", "Pole Vault", "Shot Put", "Weight Throw", "Discus", "Hammer", "Javelin", "Heptathlon", "Decathlon", "Pentathlon"):
+        out[name.lower()] = name
+    out |= {f"{x.lower()} throw": x for x in ("Discus", "Hammer", "Javelin")}
+    return out | {"wt": "Weight Throw", "distance medley relay": "DMR", "dmr": "DMR", "sprint medley relay": "SMR", "smr": "SMR"}
 
 
 def event_code(name: Column) -> Column:
-    """Canonical name by patterns, without Men's or Women's; a name that fits none comes back without its prefix only."""
-    bare = F.trim(F.regexp_replace(name, r"(?i)^(men'?s?\s+|women'?s?\s+)", ""))
-    rules = [(f"(?i)^(?:{pattern})$", code) for pattern, code in _short_rules()]
-    return _once(bare, lambda b: F.coalesce(*[F.when(b.rlike(pattern), F.lit(code)) for pattern, code in rules], b))
+    """Canonical name of an event on a result page, without Men's or Women's. A name is taken apart into numbers and words; one that comes to no known event loses its prefix only."""
+    bare = F.trim(_ungendered(name))
+    same = F.create_map(*[F.lit(x) for pair in SAME_WORDS.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in event_signatures().items() for x in pair])
+
+    def coded(b: Column) -> Column:
+        parts = F.regexp_extract_all(F.lower(b), F.lit(r"(\d+(?:,\d{3})*|[a-z]+)"))
+        whole = F.array_join(parts, "") == F.regexp_replace(F.lower(b), r"\s+", "")
+        plain = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(same, w), F.replace(w, F.lit(","), F.lit("")))), " ")
+        return F.coalesce(F.when(whole, F.try_element_at(known, plain)), b)
+
+    return _once(bare, coded)
 
 
 def resolve_events(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
@@ -184,17 +209,27 @@ def meet_status(start: Column, end: Column, url: Column, override: Column, zone:
     )
 
 
+#: Kinds of meets with the reason given for each, by what the name says.
+MEET_KINDS = [
+    ("bracketed", "combined_child_candidate", "bracketed_combined_events"),
+    ("within", "combined_child_candidate", "championship_combined_events"),
+    ("combined", "multi_only", "standalone_multi_event_meet"),
+    ("early", "preliminary", "preliminary_meet_record"),
+    ("other", "canonical", "regular_meet_record"),
+]
+
+
 def meet_kind(name: Column) -> Column:
     """struct(kind, reason): combined events held within another meet or alone, preliminaries, or a meet of its own. A null name is empty."""
-    text = F.coalesce(name, F.lit(""))
-    combined = text.rlike(r"(?i)\bcombined events?\b|\bmultis?\b")
-    bracketed = text.rlike(r"(?i)\[(combined events?|multis?)\]")
-    kinds = [
-        (bracketed, "combined_child_candidate", "bracketed_combined_events"),
-        (combined & text.rlike(r"(?i)\bchampionships?\b"), "combined_child_candidate", "championship_combined_events"),
-        (combined, "multi_only", "standalone_multi_event_meet"),
-        (text.rlike(r"(?i)\bprelims?|preliminar(?:y|ies)\b"), "preliminary", "preliminary_meet_record"),
-        (F.lit(True), "canonical", "regular_meet_record"),
-    ]
-    pick = lambda i: F.coalesce(*[F.when(k[0], F.lit(k[i])) for k in kinds])
-    return F.struct(pick(1).alias("kind"), pick(2).alias("reason"))
+    spaced = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"([\[\]])", " $1 "), r"[^a-z0-9_\[\]]+", " ")
+    text = F.concat(F.lit(" "), spaced, F.lit(" "))
+    says = lambda *phrases: F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: text.contains(p))
+    combined = says("combined event", "combined events", "multi", "multis")
+    told = {
+        "bracketed": says("[ combined event ]", "[ combined events ]", "[ multi ]", "[ multis ]"),
+        "within": combined & says("championship", "championships"),
+        "combined": combined,
+        "early": says("prelim", "prelims", "preliminary", "preliminaries"),
+        "other": F.lit(True),
+    }
+    return F.coalesce(*[F.when(told[key], F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))) for key, kind, reason in MEET_KINDS])
