@@ -114,11 +114,11 @@ def window_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def chosen_athletes(spark: SparkSession, d: str) -> DataFrame:
     """Name keys to one athlete: the one of the same team, else the only one, else none; with the reason."""
-    e = entries(spark, d).select("id", "athlete", marks.name_key(C("name")).alias("k"), records.team_name(C("team")).alias("t")).where("k <> ''")
-    known = e.where("athlete % 3 <> 0")
+    e = entries(spark, d).select("id", "athlete", "place", marks.name_key(C("name")).alias("k"), records.team_name(C("team")).alias("t")).where("k <> ''")
+    known = e.where("place IS NOT NULL")
     same = known.groupBy("k", "t").agg(F.countDistinct("athlete").alias("c"), F.min("athlete").alias("a")).where("c = 1").select("k", "t", C("a").alias("same_team"))
     only = known.groupBy("k").agg(F.countDistinct("athlete").alias("c"), F.min("athlete").alias("a")).where("c = 1").select("k", C("a").alias("only"))
-    met = e.where("athlete % 3 = 0").join(same, ["k", "t"], "left").join(only, "k", "left")
+    met = e.where("place IS NULL").join(same, ["k", "t"], "left").join(only, "k", "left")
     return met.select("id", F.coalesce("same_team", "only").alias("athlete"), F.when(C("same_team").isNotNull(), "team").when(C("only").isNotNull(), "only").otherwise("none").alias("how"))
 
 
@@ -182,7 +182,7 @@ def pair_checks(spark: SparkSession, d: str) -> DataFrame:
     """Q7: marks of one athlete and event that differ in a source's suffix only. Q17: one source id of several athletes. Q12: keys that repeat."""
     e = entries(spark, d)
     plain = F.lower(F.regexp_replace("mark", "[ah]$", ""))
-    g = e.where(C("mark").rlike(DIGITS)).groupBy(F.pmod("athlete", F.lit(50)), "event", plain.alias("k")).agg(_n("c"), F.count_if(C("mark").rlike("[ah]$")).alias("s"), F.count_if(~C("mark").rlike("[ah]$")).alias("p"))
+    g = e.where(C("mark").rlike(DIGITS)).groupBy("athlete", "event", plain.alias("k")).agg(_n("c"), F.count_if(C("mark").rlike("[ah]$")).alias("s"), F.count_if(~C("mark").rlike("[ah]$")).alias("p"))
     q7 = g.agg(F.count_if((C("c") > 1) & (C("s") > 0) & (C("p") > 0)).alias("n")).select(F.lit("Q7_suffixed_and_plain").alias("name"), "n")
     ids = e.select(F.regexp_extract("url", "/athletes?/([0-9]+)", 1).alias("k"), "athlete").where("k <> ''").groupBy("k").agg(F.countDistinct("athlete").alias("c"))
     q17 = ids.agg(F.count_if(C("c") > 1).alias("n")).select(F.lit("Q17_shared_source_id").alias("name"), "n")
@@ -225,7 +225,7 @@ def key_profile(spark: SparkSession, d: str) -> DataFrame:
 # ---- sinks, queues and plans, as the rows they would write
 def restage(spark: SparkSession, d: str) -> DataFrame:
     """A second delivery against the first: accepted again if nothing differs (null-safe), else a conflict; new keys are inserted. Only new content gets a version."""
-    first = entries(spark, d).where("id % 4 <> 0").select("id", "mark", "name", "team", "place")
+    first = entries(spark, d).where("place IS NOT NULL").select("id", "mark", "name", "team", "place")
     again = entries(spark, d).select("id", F.when(C("id") % 10 == 1, F.lit("10.99")).otherwise(C("mark")).alias("mark2"), C("name").alias("name2"), C("team").alias("team2"), C("place").alias("place2"))
     same = C("mark").eqNullSafe(C("mark2")) & C("name").eqNullSafe(C("name2")) & C("team").eqNullSafe(C("team2")) & C("place").eqNullSafe(C("place2"))
     met = again.join(first.withColumn("known", F.lit(True)), "id", "left")
@@ -383,8 +383,8 @@ ORACLE_SQL = {
     "J42a_window_candidates": f"""{_E}, k AS (SELECT *, {_MEET_KEY} AS mk FROM e), m AS (SELECT mk, day, min(id) AS meet_id, min(location) AS spot FROM k WHERE location IS NOT NULL AND meet IS NOT NULL GROUP BY ALL),
         g AS (SELECT k.id, count(*) AS n, min(meet_id) AS lone, count(*) FILTER (spot = location) AS here, min(meet_id) FILTER (spot = location) AS at_place FROM k JOIN m ON k.mk = m.mk AND abs(date_diff('day', k.day, m.day)) <= 7 WHERE k.place IS NULL AND k.meet IS NOT NULL GROUP BY k.id)
         SELECT id, CASE WHEN n = 1 THEN lone WHEN here = 1 THEN at_place END AS meet_id, CASE WHEN n = 1 THEN 'only' WHEN here = 1 THEN 'place' ELSE 'ambiguous' END AS how FROM g""",
-    "J42b_chosen_athletes": f"""{_E}, r AS (SELECT id, athlete, {_NAME_KEY.format('name')} AS k, {_TEAM} AS t FROM e WHERE {_NAME_KEY.format('name')} <> ''),
-        m AS (SELECT id, (SELECT min(b.athlete) FROM r b WHERE b.athlete % 3 <> 0 AND b.k = a.k AND b.t = a.t HAVING count(DISTINCT b.athlete) = 1) AS s, (SELECT min(b.athlete) FROM r b WHERE b.athlete % 3 <> 0 AND b.k = a.k HAVING count(DISTINCT b.athlete) = 1) AS o FROM r a WHERE a.athlete % 3 = 0)
+    "J42b_chosen_athletes": f"""{_E}, r AS (SELECT id, athlete, place, {_NAME_KEY.format('name')} AS k, {_TEAM} AS t FROM e WHERE {_NAME_KEY.format('name')} <> ''),
+        m AS (SELECT id, (SELECT min(b.athlete) FROM r b WHERE b.place IS NOT NULL AND b.k = a.k AND b.t = a.t HAVING count(DISTINCT b.athlete) = 1) AS s, (SELECT min(b.athlete) FROM r b WHERE b.place IS NOT NULL AND b.k = a.k HAVING count(DISTINCT b.athlete) = 1) AS o FROM r a WHERE a.place IS NULL)
         SELECT id, coalesce(s, o) AS athlete, CASE WHEN s IS NOT NULL THEN 'team' WHEN o IS NOT NULL THEN 'only' ELSE 'none' END AS how FROM m""",
     "A13_unlinked_counts": f"{_E} SELECT a AS n_events, b AS n_names, c AS n_full, a + b + c AS total, u AS any_unmarked FROM (SELECT (SELECT count(*) FROM e WHERE event = '') AS a, (SELECT count(*) FROM e WHERE name IS NULL) AS b, (SELECT count(*) FROM lineitem WHERE l_discount = 0) AS c, (SELECT coalesce(bool_or(mark IS NULL), false) FROM e) AS u)",
     "A14_usage": "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_suppliers FROM nation",
@@ -397,14 +397,14 @@ ORACLE_SQL = {
         SELECT 'Q2_unresolved_event' AS name, count(*) FILTER (event = '') AS n FROM z UNION ALL SELECT 'Q5_doubled_code', count(*) FILTER ({_DOUBLED}) FROM z
         UNION ALL SELECT 'Q9_mark_without_number', count(*) FILTER (regexp_matches(mark, '^\\d+[.:]\\d') AND blank AND NOT field) FROM z UNION ALL SELECT 'Q10_not_positive', 0 UNION ALL SELECT 'Q10_truncated', 0
         UNION ALL SELECT 'Q18_undecided', count(*) FILTER (place IS NULL AND mark IS NOT NULL) FROM z""",
-    "Q7_Q12_Q17_pair_checks": f"""{_E} SELECT 'Q7_suffixed_and_plain' AS name, count(*) AS n FROM (SELECT 1 FROM e WHERE regexp_matches(mark, '[0-9]') GROUP BY athlete % 50, event, lower(regexp_replace(mark, '[ah]$', '')) HAVING count(*) > 1 AND bool_or(regexp_matches(mark, '[ah]$')) AND bool_or(NOT regexp_matches(mark, '[ah]$')))
+    "Q7_Q12_Q17_pair_checks": f"""{_E} SELECT 'Q7_suffixed_and_plain' AS name, count(*) AS n FROM (SELECT 1 FROM e WHERE regexp_matches(mark, '[0-9]') GROUP BY athlete, event, lower(regexp_replace(mark, '[ah]$', '')) HAVING count(*) > 1 AND bool_or(regexp_matches(mark, '[ah]$')) AND bool_or(NOT regexp_matches(mark, '[ah]$')))
         UNION ALL SELECT 'Q17_shared_source_id', count(*) FROM (SELECT 1 FROM e WHERE regexp_matches(url, '/athletes?/[0-9]+') GROUP BY regexp_extract(url, '/athletes?/([0-9]+)', 1) HAVING count(DISTINCT athlete) > 1)
         UNION ALL SELECT 'Q12_repeated_key', coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM e GROUP BY athlete, event, {_MARK_KEY}, round HAVING c > 1)""",
     "Q4_X39_relay_duplicates": """WITH g AS (SELECT l_orderkey, string_agg(w, '|' ORDER BY n, w) AS lineup, count(*)::INT AS n_legs FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_suppkey::VARCHAR AS w FROM lineitem) GROUP BY 1)
         SELECT lineup, n_legs, count(*) AS n_relays, count(DISTINCT o_custkey) AS n_customers FROM g JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "Q11_late_lines": "SELECT abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) // 30 AS months, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) > 7 GROUP BY 1",
     "Q14b_key_profile": " UNION ALL ".join(f"SELECT '{c}.{k[0]}' AS key, count(*) FILTER ({k[0]} IS NOT NULL AND {k[0]} NOT IN (SELECT {t[0]} FROM {p})) AS n_orphans, count(*) FILTER ({k[0]} IS NULL) AS n_null FROM {c}" for c, k, p, t in FOREIGN_KEYS),
-    "S16_S17_R9_restage": f"{_E}, o AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'inserted' WHEN id % 10 = 1 AND mark IS DISTINCT FROM '10.99' THEN 'conflict' ELSE 'replayed' END AS outcome FROM e) SELECT outcome, count(*) AS n, min(id) AS first_id FROM o GROUP BY 1",
+    "S16_S17_R9_restage": f"{_E}, o AS (SELECT id, CASE WHEN place IS NULL THEN 'inserted' WHEN id % 10 = 1 AND mark IS DISTINCT FROM '10.99' THEN 'conflict' ELSE 'replayed' END AS outcome FROM e) SELECT outcome, count(*) AS n, min(id) AS first_id FROM o GROUP BY 1",
     "S18_archive": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, rank() OVER w AS k, first_value(l_partkey) OVER w AS kept_part FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity))
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, kept_part, l_orderkey % 16 AS batch FROM r WHERE k > 1""",
     "S20_report": f"{_E} SELECT '{{\"athletes\":' || count(DISTINCT athlete) || ',\"entries\":' || count(*) || ',\"unmarked\":' || count(*) FILTER (mark IS NULL) || '}}' AS report FROM e",

@@ -80,19 +80,19 @@ def roster_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recovery_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of 1997 as meets: finished lines are individual results, open ones relays, returned lines of high tax open cases."""
-    o, lines = table(spark, d, "orders").where("year(o_orderdate) = 1997"), table(spark, d, "lineitem").withColumn("meet", F.col("l_orderkey"))
+    """Orders as meets: finished lines are individual results, open ones relays, returned lines of high tax open cases."""
+    o, lines = table(spark, d, "orders"), table(spark, d, "lineitem").withColumn("meet", F.col("l_orderkey"))
     meets = o.select(F.col("o_orderkey").alias("meet"), (F.col("o_orderpriority") != "5-LOW").alias("source_known"))
     prior = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("meet"), F.lit("absent").alias("relay_coverage"))
     return reviews.refresh_queue(meets, lines.where("l_linestatus = 'F'"), lines.where("l_linestatus = 'O'"), lines.where("l_returnflag = 'R' AND l_tax > 0.07"), prior)
 
 
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Customers to be merged into one three numbers on; their orders are results."""
+    """Customers with a small balance, to be merged into the one three numbers on; their orders are results."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     url = F.when(F.col("c_custkey") % 5 == 0, F.format_string("u%d", F.floor(F.col("c_custkey") / 40))).when(F.col("c_custkey") % 5 == 1, F.format_string("v%d", "c_custkey"))
     people = c.select(F.col("c_custkey").alias("person"), (F.col("c_nationkey") % 2).alias("gender"), (F.col("c_nationkey") % 3).alias("name"), url.alias("profile"))
-    decisions = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("old"), F.when(F.col("c_custkey") % 21 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 3).alias("target"))
+    decisions = c.where("c_acctbal < 4000").select(F.col("c_custkey").alias("old"), F.when(F.col("c_custkey") % 21 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 3).alias("target"))
     results = o.select(F.col("o_custkey").alias("person"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("event"), F.col("o_orderstatus").alias("mark"))
     return reviews.merge_plan(decisions, people, results, ["event", "mark"])
 
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     "M9_recovery_queue": """
         WITH k AS (SELECT o_orderkey AS meet, o_orderpriority <> '5-LOW' AS s, o_orderkey % 5 = 0 AS absent, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') AS n_individual,
                           (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O') AS n_relay, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_tax > 0.07) AS n_open
-                   FROM orders WHERE year(o_orderdate) = 1997),
+                   FROM orders),
         n AS (SELECT *, n_individual = 0 AS needs_individual, n_relay = 0 AND NOT absent AS needs_relays, CASE WHEN n_individual = 0 AND n_relay = 0 THEN 'empty' WHEN n_individual = 0 THEN 'relay_only' WHEN n_relay = 0 THEN 'individual_only' ELSE 'covered' END AS coverage FROM k)
         SELECT meet, coverage, needs_individual, needs_relays, n_individual, n_relay, n_open, CASE coverage WHEN 'empty' THEN 10 WHEN 'relay_only' THEN 20 WHEN 'individual_only' THEN 30 ELSE 100 END AS priority,
                CASE WHEN n_open > 0 THEN 'partial' WHEN NOT needs_individual AND NOT needs_relays THEN 'complete' WHEN NOT s THEN 'blocked' ELSE 'queued' END AS status FROM n""",
@@ -253,7 +253,7 @@ ORACLE_SQL = {
         SELECT CASE same WHEN 1 THEN 'real' WHEN 0 THEN 'copy' END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "M17_merge_plan": """
         WITH p AS (SELECT c_custkey AS person, c_nationkey % 2 AS g, c_nationkey % 3 AS m, CASE WHEN c_custkey % 5 = 0 THEN 'u' || (c_custkey // 40) WHEN c_custkey % 5 = 1 THEN 'v' || c_custkey END AS url FROM customer),
-        d AS (SELECT c_custkey AS old, CASE WHEN c_custkey % 21 = 0 THEN c_custkey ELSE c_custkey + 3 END AS target FROM customer WHERE c_custkey % 3 = 0),
+        d AS (SELECT c_custkey AS old, CASE WHEN c_custkey % 21 = 0 THEN c_custkey ELSE c_custkey + 3 END AS target FROM customer WHERE c_acctbal < 4000),
         r AS (SELECT d.*, CASE WHEN t.person IS NULL THEN 'athlete_not_found' WHEN old = target THEN 'same_athlete' WHEN o.g <> t.g THEN 'gender_mismatch' WHEN o.m <> t.m THEN 'name_mismatch' WHEN t.url <> coalesce(o.url, '') THEN 'target_has_different_profile_url'
                      WHEN (SELECT count(*) FROM p WHERE p.url = o.url AND p.person NOT IN (old, target)) > 0 THEN 'profile_url_has_other_owner' END AS reason
               FROM d LEFT JOIN p o ON o.person = old LEFT JOIN p t ON t.person = target),

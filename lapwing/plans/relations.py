@@ -245,8 +245,8 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_state(spark: SparkSession, d: str) -> DataFrame:
-    """The events table replayed as a stream of upserts: the last row of each user and event type; a purchase is final."""
-    return live.replay(spark, f"{d}/events.parquet", ["user_id", "event_type"], F.col("event_type") == "purchase", "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+    """The events table replayed as a stream of upserts: the last row of each user; a purchase is final and stays, whatever comes later but another purchase."""
+    return live.replay(spark, f"{d}/events.parquet", ["user_id"], F.col("event_type") == "purchase", "ts", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
 QUERIES = {
@@ -278,7 +278,7 @@ QUERIES = {
     "U7_moved_lines": moved_lines,
     "M3_match_decisions": match_decisions,
     "Q_integrity": integrity,
-    "R2_live_state": live_state,
+    "R2_R3_live_state": live_state,
 }
 
 _LAST = "SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate::DATE {} DATE '1998-01-01') WHERE rn = 1"
@@ -369,8 +369,8 @@ ORACLE_SQL = {
           UNION ALL SELECT 'prices_not_positive', (SELECT count(*) FROM o WHERE o_totalprice <= 0), 0
           UNION ALL SELECT 'shipped_before_order', (SELECT count(*) FROM lineitem JOIN o ON o_orderkey = l_orderkey WHERE l_shipdate::DATE < day), 0)
         SELECT name, n, tolerate, n <= tolerate AS ok FROM c""",
-    "R2_live_state": """
-        SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+    "R2_R3_live_state": """
+        SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "M3_match_decisions": """
         WITH r AS (SELECT l_partkey AS actor, l_suppkey AS event, l_quantity AS mark, CASE WHEN l_tax > 0.02 THEN l_linenumber END AS place, CASE WHEN l_discount > 0 THEN l_orderkey END AS meet, l_shipdate::DATE AS day, l_returnflag AS f FROM lineitem),
         o AS (SELECT *, row_number() OVER () AS obs FROM (SELECT DISTINCT actor, event, mark, place, meet, day FROM r WHERE f = 'R')),
