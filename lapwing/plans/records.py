@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lapwing.functions import marks, records, scores
+from lapwing.functions import events, marks, records, scores
 from lapwing.sources.entries import ENTRIES, entries
 from lapwing.sources.tables import table
 
@@ -242,6 +242,35 @@ def matched_rows(spark: SparkSession, d: str) -> DataFrame:
     ).select("id", "n", "n_status", "n_conflict", "n_enrich", (-C("best.neg")).alias("preferred"), C("best.s").alias("preference"))
 
 
+CATALOG = [("60m", "60 Meters"), ("HJ", "High Jump"), ("SP", "Shot Put"), ("DMR", "DMR")]
+
+
+def canonical_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling of an event as the catalogue's name where that has it by code or name, else as its display name."""
+    known = F.create_map(*[F.lit(x) for code, name in CATALOG for form in {code.lower(), name.lower()} for x in (form, code)])
+    e = entries(spark, d).select("event").distinct()
+    return e.select("event", F.coalesce(F.try_element_at(known, F.lower(F.trim("event"))), events.event_label(C("event"))).alias("canonical"))
+
+
+def source_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Source rows fitted to what is known: team by its unique name, athlete by its unique name key, a key within source and meet; a relay has participants (its team's names), others one."""
+    e = entries(spark, d)
+    unique = lambda key, value: e.select(key.alias("k"), value.alias("v")).where("k <> ''").groupBy("k").agg(F.countDistinct("v").alias("c"), F.min("v").alias("v")).where("c = 1")
+    teams = unique(records.team_name(C("team")), F.length("team")).select(C("k").alias("team_key"), C("v").alias("team_id"))
+    people = unique(marks.name_key(C("name")), C("athlete")).select(C("k").alias("name_key"), C("v").alias("athlete_id"))
+    relay = F.coalesce(records.is_relay_source(C("event")), F.lit(False))
+    rows = e.select("id", records.team_name(C("team")).alias("team_key"), marks.name_key(C("name")).alias("name_key"), marks.source_record_key(records.meet_key(C("meet")), C("event"), C("id")).alias("scoped_key"), relay.alias("relay"))
+    met = rows.join(teams, "team_key", "left").join(people, "name_key", "left")
+    return met.select("id", "scoped_key", "team_id", F.when(~C("relay"), C("athlete_id")).alias("athlete_id"), F.when(C("relay"), 4).otherwise(1).alias("n_participants"))
+
+
+def rereads(spark: SparkSession, d: str) -> DataFrame:
+    """A feed that is read whole again each day: rows by then, and users whose last row is another one than at the read before."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.to_date("ts").alias("day"))
+    daily = e.groupBy("day").agg(F.count(F.lit(1)).alias("new"), F.countDistinct("user_id").alias("n_changed"))
+    return daily.select("day", F.sum("new").over(Window.orderBy("day")).alias("n_rows"), "n_changed")  # a row a day
+
+
 # ---- windows, lists, sets of what is shown
 def grouped_nulls(spark: SparkSession, d: str) -> DataFrame:
     """A number for each pair of team and division, nulls being a value of their own."""
@@ -300,7 +329,7 @@ QUERIES = {
     "F8_key_or_fallback": key_or_fallback, "F9_mark_shapes": mark_shapes, "F10_season_filter": season_filter, "F12_F13_competition_days": competition_days, "F15_visible_orders": visible_orders, "F16_shown_names": shown_names,
     "X10_X11_X12_values": values, "X2_X3_X6_X15_X40_mark_values": mark_values, "X5_X7_X8_keys": keys, "X9_T6_rounds": rounds, "X14_X16_X41_event_kinds": event_kinds, "X25_X26_X27_F14_people": people, "X28_name_likeness": name_likeness,
     "X29_X30_X31_X33_places": places, "Q19_platform_drift": platform_drift, "X42_X43_snapshots": snapshots, "X22_X23_X24_F11_scored_entries": scored_entries, "W2_points_board": points_board,
-    "M1_X13_observations": observations, "M4_M5_matched_rows": matched_rows, "W7_grouped_nulls": grouped_nulls, "W13_season_bests": season_bests, "W17_canonical_meets": canonical_meets, "W18_shown_once": shown_once,
+    "X21_canonical_events": canonical_events, "M2_source_rows": source_rows, "R4_rereads": rereads, "M1_X13_observations": observations, "M4_M5_matched_rows": matched_rows, "W7_grouped_nulls": grouped_nulls, "W13_season_bests": season_bests, "W17_canonical_meets": canonical_meets, "W18_shown_once": shown_once,
     "T4_T5_event_list": event_list, "T2_newest": newest, "U3_meets_of_both": meets_of_both, "U6_event_names_by_gender": event_names_by_gender,
 }
 
@@ -395,6 +424,12 @@ ORACLE_SQL = {
                  CASE WHEN mark_raw IS NULL THEN 'missing_mark' END, CASE WHEN (seconds IS NOT NULL)::INT + (meters IS NOT NULL)::INT + (points IS NOT NULL)::INT > 1 THEN 'multiple_measurements' END,
                  CASE WHEN measure = 'points' AND (seconds IS NOT NULL OR meters IS NOT NULL) THEN 'multi_event_component_mark' END, CASE WHEN measure = 'time' AND meters IS NOT NULL THEN 'time_distance_conflict' END,
                  CASE WHEN measure = 'distance' AND seconds IS NOT NULL THEN 'distance_time_conflict' END) AS errors FROM q""",
+    "X21_canonical_events": f"{_E} SELECT DISTINCT event, CASE event WHEN '60 Meters' THEN '60m' WHEN '200 Meters' THEN '200m' WHEN '400m' THEN '400m' WHEN '800 Meters' THEN '800m' WHEN 'Mile' THEN 'Mile' WHEN '3000m' THEN '3000m' WHEN '60 Hurdles' THEN '60m H' WHEN 'High Jump' THEN 'HJ' WHEN 'Long Jump' THEN 'Long Jump' WHEN 'Shot Put' THEN 'SP' WHEN '4x100 Meter Relay' THEN '4x100m' WHEN 'DMR' THEN 'DMR' WHEN 'Sprint Medley' THEN 'SMR' WHEN 'Women''s 200 Meters' THEN '200m' WHEN 'Men''s Mile' THEN 'Mile' ELSE event END AS canonical FROM e",
+    "M2_source_rows": f"""{_E}, k AS (SELECT *, trim(regexp_replace(regexp_replace({_NAME_KEY.format("regexp_replace(team, '(?i)\\s*[-–—]\\s*[a-h]$', '')")}, '\\b(unattached|independent|unaffiliated)\\b', '', 'g'), '\\s+', ' ', 'g')) AS tk, {_NAME_KEY.format('name')} AS nk FROM e),
+        t AS (SELECT tk, min(length(team))::INT AS team_id FROM k WHERE tk <> '' GROUP BY tk HAVING count(DISTINCT length(team)) = 1), p AS (SELECT nk, min(athlete) AS athlete_id FROM k WHERE nk <> '' GROUP BY nk HAVING count(DISTINCT athlete) = 1)
+        SELECT id, sha256(concat_ws(chr(31), {_MEET_KEY}, coalesce(event, ''), id::VARCHAR)) AS scoped_key, team_id, CASE WHEN NOT coalesce({_RELAY}, false) THEN athlete_id END AS athlete_id, CASE WHEN {_RELAY} THEN 4 ELSE 1 END AS n_participants
+        FROM k LEFT JOIN t USING (tk) LEFT JOIN p USING (nk)""",
+    "R4_rereads": "SELECT day, (sum(n) OVER (ORDER BY day))::BIGINT AS n_rows, c AS n_changed FROM (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS c FROM events GROUP BY 1)",
     "M4_M5_matched_rows": f"""{_E}, r AS (SELECT id, athlete, event, lower(trim(mark)) IN ('dns', 'dnf', 'dq', 'fs', 'scr', 'nt', 'nm', 'nh', 'nd', 'enr', 'np', 'nwi') AS code, day, place, {_ROUND} AS canon, trim(round) AS raw, CASE WHEN place > 4 THEN place END AS team_id FROM e),
         m AS (SELECT a.id, b.id AS other, coalesce(a.code AND b.code AND a.day = b.day, false) AND NOT coalesce(a.canon <> b.canon, false) AND a.place IS NOT DISTINCT FROM b.place AS status, coalesce(a.team_id <> b.team_id, false) AS conflict, a.team_id IS NOT NULL AND b.team_id IS NULL AS enrich,
                 CASE WHEN a.canon = b.canon THEN 100 ELSE 0 END + CASE WHEN a.raw = b.raw AND a.raw <> '' THEN 10 ELSE 0 END + CASE WHEN b.raw = b.canon THEN 2 ELSE 0 END + CASE b.canon WHEN 'Finals' THEN 3 WHEN 'Preliminaries' THEN 2 WHEN 'Semifinals' THEN 1 ELSE 0 END AS s
