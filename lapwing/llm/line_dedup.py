@@ -15,7 +15,7 @@ both lines. Only windows whose outside is shared with a different line go on. Th
 keys, equal variants are joined, and the edit distance of the joined windows is verified with ``levenshtein``.
 
 Edge cases: a null text becomes an empty one; an empty text has one empty line, which stays; an empty table gives an empty table; columns of the
-input other than the text are carried through, whatever their names; rows that repeat keep the same lines.
+input other than the text are carried through, whatever their names, but for n_lines, n_exact and n_near, which the result's own replace; rows that repeat keep the same lines.
 """
 
 from __future__ import annotations
@@ -113,19 +113,28 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return ids.join(known.unionByName(near), ["h1", "h2"]).where(later).groupBy("d", "t", "n").agg(F.min(F.col("fn") < 0).alias("near"))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, near_min_chars: int = 20) -> DataFrame:
     """docs with the repeated lines taken out of the text, plus n_lines, n_exact and n_near: lines had, gone as equal, gone as near."""
+    d, t, g, n = (_free(docs, x) for x in ("__d", "__t", "__g", "__n"))
     gone = (
         duplicate_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, near_min_chars=near_min_chars)
         .groupBy("d", "t")
         .agg(F.collect_set("n").alias("gone"), F.count_if(F.col("near")).alias("near"))
     )
-    gone = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.struct("gone", "near").alias("__g"))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)), "__t": F.xxhash64(text_of(text_col))})
+    gone = gone.select(F.col("d").alias(d), F.col("t").alias(t), F.struct("gone", "near").alias(g))
+    keyed = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG)), t: F.xxhash64(text_of(text_col))})
     lines = F.split(text_of(text_col), "\n", -1)
-    here = F.filter(F.coalesce(F.col("__g.gone"), F.array().cast("array<int>")), lambda i: i < F.size(lines))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col("__g.gone"), F.array().cast("array<int>")), i))
-    out = keyed.join(gone, ["__d", "__t"], "left").withColumn("__n", F.struct(F.size(lines).cast("long").alias("lines"), F.size(here).cast("long").alias("gone"), F.coalesce(F.col("__g.near"), F.lit(0)).alias("near")))
+    here = F.filter(F.coalesce(F.col(f"{g}.gone"), F.array().cast("array<int>")), lambda i: i < F.size(lines))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col(f"{g}.gone"), F.array().cast("array<int>")), i))
+    out = keyed.join(gone, [d, t], "left").withColumn(n, F.struct(F.size(lines).cast("long").alias("lines"), F.size(here).cast("long").alias("gone"), F.coalesce(F.col(f"{g}.near"), F.lit(0)).alias("near")))
     return out.withColumns(
-        {text_col: F.array_join(kept, "\n"), "n_lines": F.col("__n.lines"), "n_exact": F.greatest(F.lit(0).cast("long"), F.col("__n.gone") - F.col("__n.near")), "n_near": F.least(F.col("__n.near"), F.col("__n.gone"))}
-    ).drop("__d", "__t", "__g", "__n")
+        {text_col: F.array_join(kept, "\n"), "n_lines": F.col(f"{n}.lines"), "n_exact": F.greatest(F.lit(0).cast("long"), F.col(f"{n}.gone") - F.col(f"{n}.near")), "n_near": F.least(F.col(f"{n}.near"), F.col(f"{n}.gone"))}
+    ).drop(d, t, g, n)

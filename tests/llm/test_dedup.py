@@ -93,6 +93,14 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(messy(spark, ODD).limit(0)).count() == 0
 
 
+def test_lines_clashing_names(spark):
+    line = "A line that two documents have."
+    rows = [(1, line, "own", 5, 6, 7, 8, 9), (2, line + "\nrest", "own", 5, 6, 7, 8, 9)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string, __d int, __D_ int, __t int, __g int, __n int"))
+    assert out.columns == ["doc_id", "text", "n_lines", "__d", "__D_", "__t", "__g", "__n", "n_exact", "n_near"]
+    assert sorted(map(tuple, out.collect())) == [(1, line, 1, 5, 6, 7, 8, 9, 0, 0), (2, "rest", 2, 5, 6, 7, 8, 9, 1, 0)]
+
+
 def test_lines_native(spark):
     plan = line_dedup.dedup_lines(messy(spark, ODD))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
