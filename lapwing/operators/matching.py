@@ -113,7 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _checkpoints(spark) -> None:
-    """Checkpoints go to the folder that the cluster names; to one of our own only where none is named (tests)."""
+    """Checkpoints go to the folder that the cluster names; to one of our own only where none is named and all runs on this machine (tests)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lapwing-"))

@@ -14,7 +14,11 @@ from lapwing.operators.upsert import latest_of
 
 
 def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lapwing-")
+    """A folder in the one that the cluster names; a temporary one only where none is named and all runs on this machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="lapwing-")
     return f"{found.rstrip('/')}/live-{uuid.uuid4().hex}"
 
 
