@@ -78,26 +78,29 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def _prefixes(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """doc_id, t, sig, n, fp, hs: of each row the first shingles in the common order, those of last at the end. t stands for the text, sig for the set."""
+    """doc_id, t, sig, n, fp, rare, hs: of each row the first shingles in the common order, those of last at the end. t stands for the text, sig for the set; rare: how many of hs aren't in last."""
 
     rank = np.argsort(last)
     known = last[rank]
 
-    def moved(h: np.ndarray) -> np.ndarray:
+    def moved(h: np.ndarray) -> tuple[np.ndarray, int]:
+        if not len(last):
+            return h, len(h)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         often = known[at] == h
-        return np.concatenate([h[~often], last[np.sort(rank[at[often]])]]) if often.any() else h
+        return np.concatenate([h[~often], last[np.sort(rank[at[often]])]]), len(h) - int(often.sum())
 
     def each(batches):
         for b in batches:
             out = []
             for t in b["text"]:
                 h = shingles(t, words)
-                first = (moved(h) if len(last) else h)[: prefix_length(len(h), similarity)]
-                out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64), len(h), bits_of(h), first))
-            yield pd.concat([b[["doc_id", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=["sig", "n", "fp", "hs"])], axis=1)
+                ordered, rare = moved(h)
+                first = ordered[: prefix_length(len(h), similarity)]
+                out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64), len(h), bits_of(h), min(rare, len(first)), first))
+            yield pd.concat([b[["doc_id", "t"]].reset_index(drop=True), pd.DataFrame(out, columns=["sig", "n", "fp", "rare", "hs"])], axis=1)
 
-    return docs.mapInPandas(each, "doc_id long, t long, sig long, n int, fp long, hs array<long>")
+    return docs.mapInPandas(each, "doc_id long, t long, sig long, n int, fp long, rare int, hs array<long>")
 
 
 def _whole(rows: DataFrame, words: int) -> DataFrame:
@@ -112,15 +115,25 @@ def _whole(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _candidates(marked: DataFrame, similarity: float) -> DataFrame:
-    """sig, h, n, i, u, most, root: prefix shingles that different sets share. i: place in the order; u: shared ones before it; most: shingles that the set can have in common with any other."""
-    prefix = marked.where("n > 0").select("sig", "n", F.posexplode("hs").alias("i", "h"))
-    shared = prefix.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
-    met = prefix.join(shared, "h", "left_semi").distinct()
+    """sig, h, n, i, u, most, root: prefix shingles that different sets share. i: place in the order; u: shared ones before it; most: shingles that the set can have in common with any other.
+
+    Rows of the FREQUENT shingles aren't shuffled: they are aggregated on the map side, and what is shared of them, at most FREQUENT rows, is broadcast.
+    The others are shuffled once by shingle, for the aggregate and for the join with it alike: both take the same columns, so that Spark reuses the exchange.
+    """
+    prefix = marked.where("n > 0").select("sig", "n", "rare", F.posexplode("hs").alias("i", "h"))
+    prefix = prefix.select("sig", "h", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), (F.col("i") < F.col("rare")).alias("once"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        both = rows.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min("at").alias("first"))
+        return both.where("lo != hi").select("h", F.shiftright("first", 32).cast("int").alias("least"))
+
+    one, often = prefix.where("once").drop("once").repartition("h"), prefix.where("NOT once").drop("once")
+    met = one.join(shared(one), "h").unionByName(often.join(F.broadcast(shared(often)), "h"))
+    met = met.distinct().select("sig", "h", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("i"), "least")
     own = Window.partitionBy("sig")  # the prefix of one set
     length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
     met = met.withColumn("u", F.row_number().over(own.orderBy("i")) - 1).withColumn("most", F.col("n") - length + F.count(F.lit(1)).over(own).cast("int"))
-    least = met.groupBy("h").agg(F.min("n").alias("least"))
-    return cut(met.join(least, "h").where(F.col("most") >= _needed("n", "least", similarity)).select("sig", "h", "n", "i", "u", "most", F.col("sig").alias("root")), "near-prefixes")
+    return cut(met.where(F.col("most") >= _needed("n", "least", similarity)).select("sig", "h", "n", "i", "u", "most", F.col("sig").alias("root")), "near-prefixes")
 
 
 def _needed(n: str, m: str, similarity: float):
