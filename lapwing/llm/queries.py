@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, chat_format, exact_dedup, license_scan, line_dedup, packing, quality_crf, simhash_dedup, token_counts, topk_search
+from lapwing.llm import bpe, chat_format, exact_dedup, filter_audit, license_scan, line_dedup, packing, quality_crf, simhash_dedup, syncmers, token_alignment, token_counts, topk_search
 from lapwing.llm.common import table, tokenizer_path
 
 END_OF_TEXT = 50256
@@ -64,9 +64,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_half(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_quality_crf, op5_token_counts, op6_license_scan, op7_chat_format, op8_packing, op9_simhash_dedup, op10_bpe)
+    for f in (
+        op1_line_dedup, op2_exact_dedup, op3_topk_search, op4_quality_crf, op5_token_counts, op6_license_scan, op7_chat_format, op8_packing, op9_simhash_dedup, op10_bpe,
+        op11_filter_audit, op12_syncmers, op13_token_alignment,
+    )
 }
 
 ORACLE_SQL = {
@@ -94,4 +109,22 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
                (sum(upto) FILTER (role = 'assistant' OR k = c))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
         FROM s GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        p AS (SELECT [a, b, c.f, d.f, e.f] AS fs, [0, x, x + y, x + y + c.bit, x + y + c.bit + d.bit] AS before
+              FROM (SELECT v.f AS a, u.f AS b, v.bit AS x, u.bit AS y FROM f v JOIN f u ON u.f <> v.f) q JOIN f c ON c.f NOT IN (a, b) JOIN f d ON d.f NOT IN (a, b, c.f) JOIN f e ON e.f NOT IN (a, b, c.f, d.f)),
+        s AS (SELECT array_to_string(fs, '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest(fs) AS f, unnest(before) AS before FROM p),
+        r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+              FROM s JOIN f USING (f), c GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
 }
