@@ -88,19 +88,6 @@ def pairs_of_two(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy(C("ids")[0].alias("one"), C("ids")[1].alias("two")).agg(_n(), F.sum("parts").alias("n_parts"))
 
 
-def head_to_head(spark: SparkSession, d: str, one: str = "M", two: str = "F") -> DataFrame:
-    """Races of two groups on a day in one event: by canonical round, else by day alone where one side has no round; the better x wins."""
-    e = entries(spark, d).select("gender", "event", F.trunc("day", "year").alias("day"), "x", records.display_round(C("round")).alias("r"), C("round").alias("raw"))
-    best = lambda g, *keys: e.where(C("gender") == g).groupBy("event", "day", *keys).agg(F.min("x").alias(f"x_{g}"))
-    tiers = []
-    for tier, keys in (("raw", ["raw"]), ("round", ["r"]), ("day", [])):
-        met = best(one, *keys).join(best(two, *keys), ["event", "day", *keys])
-        tiers.append(met.groupBy("event", "day").agg(_n("races"), F.count_if(C(f"x_{one}") < C(f"x_{two}")).alias("wins")).select("event", "day", F.lit(tier).alias("tier"), "races", "wins"))
-    both = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    rank = F.when(C("tier") == "raw", 0).when(C("tier") == "round", 1).otherwise(2)
-    return both.groupBy("event", "day").agg(F.min(F.struct(rank.alias("k"), "tier", "races", "wins")).alias("b")).select("event", "day", "b.tier", "b.races", "b.wins")
-
-
 def window_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Entries without a link against meets of one key within 7 days: one candidate only, else the one at the same place, else none."""
     e = entries(spark, d)
@@ -339,11 +326,11 @@ def resync(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "J4_against_totals": against_totals, "J10_two_meets_a_day": two_meets_a_day, "J12_event_properties": event_properties, "J13_A10_customer_evidence": customer_evidence, "Q14d_evidence_profile": evidence_profile,
-    "J30_schools_by_state": schools_by_state, "J32_same_name_and_day": same_name_and_day, "J34_tuples_in": tuples_in, "J35_members_of_groups": members_of_groups, "J36_pairs_of_two": pairs_of_two, "J37_head_to_head": head_to_head,
+    "J30_schools_by_state": schools_by_state, "J32_same_name_and_day": same_name_and_day, "J34_tuples_in": tuples_in, "J35_members_of_groups": members_of_groups, "J36_pairs_of_two": pairs_of_two,
     "J42a_window_candidates": window_candidates, "J42b_chosen_athletes": chosen_athletes, "A13_unlinked_counts": unlinked_counts, "A14_usage": usage, "A15_Q14c_collisions": collisions, "A25_coverage": coverage, "U8_unlinked_projections": unlinked_projections,
     "Q2_Q5_Q9_Q10_Q18_entry_checks": entry_checks, "Q7_Q12_Q17_pair_checks": pair_checks, "Q4_X39_relay_duplicates": relay_duplicates, "Q11_late_lines": late_lines, "Q14b_key_profile": key_profile,
-    "S16_S17_R9_restage": restage, "S18_archive": archive, "S20_report": report, "S22_best_table": best_table, "M8_repairs": repairs, "M10_M11_T9_relay_queue": relay_queue, "R6_R7_leases": leases, "R5_unprocessed": unprocessed,
-    "M18_split_plan": split_plan, "M19_corrections": corrections, "M20_backfill": backfill, "M6_M23_commit_run": commit_run, "M22_X46_resync": resync,
+    "S16_S17_R9_restage": restage, "S18_archive": archive, "S20_report": report, "S22_best_table": best_table, "M8_repairs": repairs, "M10_T9_relay_queue": relay_queue, "R6_R7_leases": leases, "R5_unprocessed": unprocessed,
+    "M18_split_plan": split_plan, "M19_corrections": corrections, "M20_backfill": backfill, "M6_M23_commit_run": commit_run, "M22_resync": resync,
 }
 
 _E = f"WITH {ENTRIES}"
@@ -360,12 +347,6 @@ _EVIDENCE = """SELECT c_custkey, c_acctbal < 0 AS in_debt, coalesce(f, false) AS
 _DOUBLED = "regexp_matches(mark, '^(" + "|".join(records.DOUBLED) + r")\s+(" + "|".join(records.DOUBLED) + r")$') AND regexp_extract(mark, '^(\S+)', 1) = regexp_extract(mark, '(\S+)$', 1)"
 
 
-def _tier(k: int, tier: str, key: str) -> str:
-    by, on = (f", {key}", f" AND m.{key} = f.{key}") if key else ("", "")
-    side = lambda g: f"(SELECT event, day{by}, min(x) AS x FROM r WHERE gender = '{g}' GROUP BY event, day{by})"
-    return f"SELECT {k} AS k, '{tier}' AS tier, m.event, m.day, count(*) AS races, count(*) FILTER (m.x < f.x) AS wins FROM {side('M')} m JOIN {side('F')} f ON m.event = f.event AND m.day = f.day{on} GROUP BY m.event, m.day"
-
-
 ORACLE_SQL = {
     "J4_against_totals": "SELECT o_custkey, count(*) AS n, any_value(a) AS all_orders, date_diff('day', max(o_orderdate::DATE), any_value(m))::INT AS days_behind FROM orders, (SELECT count(*) AS a, max(o_orderdate::DATE) AS m FROM orders) GROUP BY o_custkey",
     "J10_two_meets_a_day": f"{_E} SELECT athlete, date_trunc('month', day)::DATE AS day, min({_MEET_KEY}) AS one, max({_MEET_KEY}) AS other, count(DISTINCT {_MEET_KEY}) AS n FROM e WHERE {_MEET_KEY} <> '' GROUP BY 1, 2 HAVING n > 1",
@@ -379,7 +360,6 @@ ORACLE_SQL = {
     "J34_tuples_in": "SELECT l_linestatus, count(*) AS n FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R') AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY 1",
     "J35_members_of_groups": "WITH g AS (SELECT s_nationkey, list(DISTINCT s_suppkey) AS ids FROM supplier GROUP BY 1) SELECT s_nationkey, len(ids)::INT AS size, count(*) AS n_lines FROM lineitem JOIN g ON list_contains(ids, l_suppkey) GROUP BY ALL",
     "J36_pairs_of_two": "SELECT one, two, count(*) AS n, sum(p)::BIGINT AS n_parts FROM (SELECT min(l_suppkey) AS one, max(l_suppkey) AS two, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 2) GROUP BY 1, 2",
-    "J37_head_to_head": f"{_E}, r AS (SELECT gender, event, date_trunc('year', day)::DATE AS day, x, {_ROUND} AS r, round AS raw FROM e), t AS ({_tier(0, 'raw', 'raw')} UNION ALL {_tier(1, 'round', 'r')} UNION ALL {_tier(2, 'day', '')}) SELECT event, day, tier, races, wins FROM t QUALIFY row_number() OVER (PARTITION BY event, day ORDER BY k) = 1",
     "J42a_window_candidates": f"""{_E}, k AS (SELECT *, {_MEET_KEY} AS mk FROM e), m AS (SELECT mk, day, min(id) AS meet_id, min(location) AS spot FROM k WHERE location IS NOT NULL AND meet IS NOT NULL GROUP BY ALL),
         g AS (SELECT k.id, count(*) AS n, min(meet_id) AS lone, count(*) FILTER (spot = location) AS here, min(meet_id) FILTER (spot = location) AS at_place FROM k JOIN m ON k.mk = m.mk AND abs(date_diff('day', k.day, m.day)) <= 7 WHERE k.place IS NULL AND k.meet IS NOT NULL GROUP BY k.id)
         SELECT id, CASE WHEN n = 1 THEN lone WHEN here = 1 THEN at_place END AS meet_id, CASE WHEN n = 1 THEN 'only' WHEN here = 1 THEN 'place' ELSE 'ambiguous' END AS how FROM g""",
@@ -412,7 +392,7 @@ ORACLE_SQL = {
         SELECT athlete, event, x, id, CASE WHEN o IS NULL THEN 'insert' ELSE 'update' END AS action FROM b WHERE x IS DISTINCT FROM o""",
     "M8_repairs": """WITH l AS (SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT) AS stored FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS source FROM orders WHERE o_orderstatus = 'F')
         SELECT CASE WHEN l_orderkey IS NULL THEN 'add' WHEN o_orderkey IS NULL THEN 'review' WHEN source <> stored THEN 'set' ELSE 'none' END AS action, count(*) AS n, min(coalesce(o_orderkey, l_orderkey)) AS first_key FROM o FULL JOIN l ON o_orderkey = l_orderkey GROUP BY 1""",
-    "M10_M11_T9_relay_queue": f"""{_E}, r AS (SELECT *, trim(regexp_replace(replace(lower(event), '×', 'x'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM e WHERE meet IS NOT NULL),
+    "M10_T9_relay_queue": f"""{_E}, r AS (SELECT *, trim(regexp_replace(replace(lower(event), '×', 'x'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM e WHERE meet IS NOT NULL),
         g AS (SELECT {_MEET_KEY} AS meet_key, day, count(*) AS n_entries, count(*) FILTER (mark IS NULL) AS n_missing, min({_PLATFORM}) AS platform FROM r WHERE NOT contains(plain, 'shuttle') AND regexp_matches(plain, '(^|\\s)4\\s*x\\s*100(\\s*m(eter)?s?)?(\\s*relay)?(\\s*race)?($|\\s)') GROUP BY 1, 2)
         SELECT *, CASE WHEN n_missing > 0 THEN 1 WHEN platform = 'other' THEN 3 ELSE 2 END AS priority FROM g""",
     "R6_R7_leases": """WITH j AS (SELECT event_id AS job, event_id % 6 AS attempts, event_id % 4 AS state, day(ts) AS until, user_id % 3 = event_id % 3 AS held FROM events),
@@ -430,6 +410,6 @@ ORACLE_SQL = {
         m AS (SELECT a.id, a.k, a.nobody, (SELECT min(b.id) FROM r b WHERE b.place IS NOT NULL AND b.athlete = a.athlete AND b.event = a.event AND b.k = a.k) AS stored_id, min(a.id) OVER (PARTITION BY a.athlete, a.event, a.k) AS first_id FROM r a WHERE a.place IS NULL),
         o AS (SELECT *, CASE WHEN k IS NULL THEN 'held: no mark' WHEN nobody THEN 'held: no name' WHEN stored_id IS NOT NULL THEN 'linked' WHEN id <> first_id THEN 'duplicate' ELSE 'insert' END AS outcome FROM m)
         SELECT id, outcome, CASE WHEN outcome = 'linked' THEN stored_id END AS linked_id FROM o""",
-    "M22_X46_resync": f"""{_E}, g AS (SELECT {_MEET_KEY} AS meet_key, count(*) AS n, count(mark) AS n_marked, max(id) FILTER (mark IS NULL) AS open_id FROM e WHERE meet IS NOT NULL GROUP BY 1)
+    "M22_resync": f"""{_E}, g AS (SELECT {_MEET_KEY} AS meet_key, count(*) AS n, count(mark) AS n_marked, max(id) FILTER (mark IS NULL) AS open_id FROM e WHERE meet IS NOT NULL GROUP BY 1)
         SELECT meet_key, n, n_marked, CASE WHEN n_marked = n THEN 'complete' WHEN n_marked > 0 THEN 'partial' ELSE 'missing' END AS state, open_id, greatest(n - n_marked - 1, 0) AS n_superseded FROM g""",
 }

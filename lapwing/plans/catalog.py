@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from lapwing.plans import audits, feeds, identities, leaderboards, performances, records, relations
+from lapwing.plans import audits, feeds, identities, leaderboards, matches, performances, records, relations
 
-MODULES = (audits, feeds, identities, leaderboards, performances, records, relations)
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
-ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
+
+def together(parts: list[dict]) -> dict:
+    """One dict of several; a name that two of them have is an error."""
+    out: dict = {}
+    for part in parts:
+        if twice := sorted(out.keys() & part.keys()):
+            raise ValueError(f"names given twice: {', '.join(twice)}")
+        out |= part
+    return out
+
+
+MODULES = (audits, feeds, identities, leaderboards, matches, performances, records, relations)
+QUERIES = together([m.QUERIES for m in MODULES])
+ORACLE_SQL = together([m.ORACLE_SQL for m in MODULES])

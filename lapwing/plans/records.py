@@ -175,11 +175,13 @@ def scored_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries with points. A meet on a day is indoors if any of its entries there is over 60 metres; marks out of bounds have none."""
     e = entries(spark, d)
     code = F.create_map(*[F.lit(x) for p in _EVENTS.items() for x in p])
-    typical = F.create_map(*[F.lit(x) for p in _TYPICAL.items() for x in p])
+    typical = F.create_map(*[F.lit(x) for event, mark in _TYPICAL.items() for x in (event, round(100 * mark))])
     indoors = e.where(C("event").rlike(r"(?i)^60\s*(meters?|m|hurdles?)")).select("meet", "day").distinct().withColumn("hit", F.lit(True))
     met = e.join(indoors, ["meet", "day"], "left")
     rows = met.select("id", "athlete", "gender", F.element_at(code, C("event")).alias("event"), F.coalesce("hit", F.lit(False)).alias("indoor"), C("x").alias("raw"))
-    rows = rows.where("event IS NOT NULL").withColumn("x", F.round(F.element_at(typical, C("event")) * (0.8 + C("raw") / 400), 2)).drop("raw")
+    # in whole hundredths: a half of one is rounded alike everywhere
+    hundredths = F.floor((F.element_at(typical, C("event")) * (32000 + F.round(C("raw") * 100).cast("long")) + 20000) / 40000)
+    rows = rows.where("event IS NOT NULL").withColumn("x", hundredths / 100).drop("raw")
     return scores.scored(spark, rows).select("id", "gender", "event", "indoor", "x", "points")
 
 
@@ -328,7 +330,7 @@ QUERIES = {
     "F2_divisions": divisions, "F3_optional_filters": optional_filters, "F4_name_search": name_search, "F5_meet_or_team_search": meet_or_team_search, "F6_sixty_metres": sixty_metres,
     "F8_key_or_fallback": key_or_fallback, "F9_mark_shapes": mark_shapes, "F10_season_filter": season_filter, "F12_F13_competition_days": competition_days, "F15_visible_orders": visible_orders, "F16_shown_names": shown_names,
     "X10_X11_X12_values": values, "X2_X3_X6_X15_X40_mark_values": mark_values, "X5_X7_X8_keys": keys, "X9_T6_rounds": rounds, "X14_X16_X41_event_kinds": event_kinds, "X25_X26_X27_F14_people": people, "X28_name_likeness": name_likeness,
-    "X29_X30_X31_X33_places": places, "Q19_platform_drift": platform_drift, "X42_X43_snapshots": snapshots, "X22_X23_X24_F11_scored_entries": scored_entries, "W2_points_board": points_board,
+    "X29_X30_X31_X33_places": places, "Q19_platform_drift": platform_drift, "X42_X43_snapshots": snapshots, "X22_X24_F11_scored_entries": scored_entries, "W2_points_board": points_board,
     "X21_canonical_events": canonical_events, "M2_source_rows": source_rows, "R4_rereads": rereads, "M1_X13_observations": observations, "M4_M5_matched_rows": matched_rows, "W7_grouped_nulls": grouped_nulls, "W13_season_bests": season_bests, "W17_canonical_meets": canonical_meets, "W18_shown_once": shown_once,
     "T4_T5_event_list": event_list, "T2_newest": newest, "U3_meets_of_both": meets_of_both, "U6_event_names_by_gender": event_names_by_gender,
 }
@@ -361,7 +363,7 @@ _USUAL = "CASE code " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _TYP
 _SCORED = f"""k(gender, event, indoor, a, b, c, most, least) AS (VALUES {_CURVES}),
     i AS (SELECT DISTINCT meet, day FROM e WHERE regexp_matches(event, '^60\\s*(meters?|m|hurdles?)', 'i')),
     r AS (SELECT e.id, e.athlete, e.gender, {_CODE} AS code, i.day IS NOT NULL AS indoor, x AS raw FROM e LEFT JOIN i ON e.meet = i.meet AND e.day = i.day),
-    q AS (SELECT id, athlete, gender, code AS event, indoor, round({_USUAL} * (0.8::DOUBLE + raw / 400), 2) AS x FROM r WHERE code IS NOT NULL),
+    q AS (SELECT id, athlete, gender, code AS event, indoor, ((round(100 * {_USUAL})::BIGINT * (32000 + round(raw * 100)::BIGINT) + 20000) // 40000) / 100::DOUBLE AS x FROM r WHERE code IS NOT NULL),
     s AS (SELECT q.*, greatest(0, round(a * x * x + b * x + c)::INT) AS p, coalesce(x <= most, true) AND coalesce(x >= least, true) AS sound, a IS NOT NULL AS has FROM q LEFT JOIN k ON q.gender = k.gender AND q.event = k.event AND q.indoor = k.indoor),
     t AS (SELECT id, athlete, gender, event, indoor, x, CASE WHEN has AND sound AND p > 0 AND p <= 1400 THEN p END AS points FROM s)"""
 _E = f"WITH {ENTRIES}"
@@ -411,7 +413,7 @@ ORACLE_SQL = {
         SELECT stored, projected, count(*) AS n FROM s WHERE stored IS DISTINCT FROM projected GROUP BY ALL""",
     "X42_X43_snapshots": f"""{_E}, j AS (SELECT id, mark, team, '{{' || concat_ws(',', '"event":' || to_json(event), '"mark":' || to_json(mark), '"name":' || to_json(name), '"place":' || place, '"team":' || to_json(team)) || '}}' AS json FROM e)
         SELECT id, json, sha256(json) AS digest, mark, team IS NOT NULL AS has_team FROM j""",
-    "X22_X23_X24_F11_scored_entries": f"{_E}, {_SCORED} SELECT id, gender, event, indoor, x, points FROM t",
+    "X22_X24_F11_scored_entries": f"{_E}, {_SCORED} SELECT id, gender, event, indoor, x, points FROM t",
     "W2_points_board": f"{_E}, {_SCORED} SELECT athlete, points, id, event FROM (SELECT *, row_number() OVER (PARTITION BY athlete ORDER BY points DESC, id) AS n FROM t WHERE points IS NOT NULL) WHERE n = 1 ORDER BY points DESC, id LIMIT 50",
     "M1_X13_observations": f"""{_E}, {_PARSED},
         o AS (SELECT *, CASE WHEN regexp_matches(event, 'Jump|Put') THEN 'distance' WHEN event = '' THEN 'unknown' WHEN event LIKE '%Medley%' THEN 'points' ELSE 'time' END AS measure, nullif(trim(mark), '') AS mark_raw,

@@ -262,12 +262,12 @@ QUERIES = {
     "J15_overlapping_orders": overlapping_orders,
     "J16_latest_orders": latest_orders,
     "J17_unique_claims": unique_claims,
-    "J19_J22_token_matches": token_matches,
+    "J20_word_pairs": token_matches,
     "J20_T10_closest_names": closest_names,
     "J21_sole_claims": sole_claims,
     "J24_resolved_suppliers": resolved_suppliers,
     "J33_equal_lineups": equal_lineups,
-    "J37_head_to_head": head_to_head,
+    "J37_users_compared": head_to_head,
     "J38_nested_lines": nested_lines,
     "J39_reconciled_orders": reconciled_orders,
     "J39_order_outcomes": order_outcomes,
@@ -319,7 +319,7 @@ ORACLE_SQL = {
     "J17_unique_claims": """
         SELECT p.o_orderkey AS claim, min(f.o_orderkey) AS found FROM orders p JOIN orders f ON p.o_custkey = f.o_custkey AND p.o_orderstatus = 'P' AND f.o_orderstatus = 'F'
         AND abs(date_diff('day', p.o_orderdate::DATE, f.o_orderdate::DATE)) <= 60 GROUP BY 1 HAVING count(*) = 1""",
-    "J19_J22_token_matches": f"WITH {_NAMES} SELECT * FROM m",
+    "J20_word_pairs": f"WITH {_NAMES} SELECT * FROM m",
     "J20_T10_closest_names": f"""
         WITH {_NAMES}, e AS (SELECT a AS name, b AS other, similarity AS score FROM m UNION ALL SELECT b, a, similarity FROM m)
         SELECT name, min(other) AS other, score FROM e WHERE score >= 0.6 AND score = (SELECT max(x.score) FROM e x WHERE x.name = e.name) GROUP BY name, score HAVING count(*) = 1""",
@@ -335,7 +335,7 @@ ORACLE_SQL = {
     "J33_equal_lineups": """
         WITH l AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS lineup FROM lineitem GROUP BY 1)
         SELECT * FROM (SELECT l_orderkey, min(l_orderkey) OVER (PARTITION BY lineup) AS first_order FROM l) WHERE l_orderkey > first_order""",
-    "J37_head_to_head": """
+    "J37_users_compared": """
         WITH b AS (SELECT ts::DATE AS day, event_type, min(value) FILTER (user_id = 1) AS x, min(value) FILTER (user_id = 2) AS y FROM events GROUP BY 1, 2)
         SELECT count(*) FILTER (x < y) AS wins, count(*) FILTER (x > y) AS losses, count(*) FILTER (x = y) AS ties FROM b""",
     "J38_nested_lines": """
