@@ -330,7 +330,7 @@ QUERIES = {
     "J42a_window_candidates": window_candidates, "J42b_chosen_athletes": chosen_athletes, "A13_unlinked_counts": unlinked_counts, "A14_usage": usage, "A15_Q14c_collisions": collisions, "A25_coverage": coverage, "U8_unlinked_projections": unlinked_projections,
     "Q2_Q5_Q9_Q10_Q18_entry_checks": entry_checks, "Q7_Q12_Q17_pair_checks": pair_checks, "Q4_X39_relay_duplicates": relay_duplicates, "Q11_late_lines": late_lines, "Q14b_key_profile": key_profile,
     "S16_S17_R9_restage": restage, "S18_archive": archive, "S20_report": report, "S22_best_table": best_table, "M8_repairs": repairs, "M10_T9_relay_queue": relay_queue, "R6_R7_leases": leases, "R5_unprocessed": unprocessed,
-    "M18_split_plan": split_plan, "M19_corrections": corrections, "M20_backfill": backfill, "M6_M23_commit_run": commit_run, "M22_resync": resync,
+    "M18_split_plan": split_plan, "M19_corrections": corrections, "M20_backfill": backfill, "M6_run_outcomes": commit_run, "M22_resync": resync,
 }
 
 _E = f"WITH {ENTRIES}"
@@ -406,7 +406,7 @@ ORACLE_SQL = {
         SELECT CASE WHEN id % 15 = 0 THEN 'held: identity' WHEN fields = '' THEN 'unchanged' ELSE 'update' END AS state, fields, count(*) AS n, min(id) AS first_id FROM c GROUP BY 1, 2""",
     "M20_backfill": f"""{_E}, g AS (SELECT min(x) AS stored, count(DISTINCT name) AS n_names, min(x) FILTER (place = 1) AS said FROM e GROUP BY athlete, event)
         SELECT CASE WHEN said IS NULL THEN 'not_published' WHEN n_names > 1 THEN 'ambiguous' WHEN stored = said THEN 'already_present' ELSE 'conflict' END AS outcome, count(*) AS n FROM g GROUP BY 1""",
-    "M6_M23_commit_run": f"""{_E}, r AS (SELECT id, athlete, event, place, {_MARK_KEY} AS k, {_NOBODY} AS nobody FROM e WHERE event <> ''),
+    "M6_run_outcomes": f"""{_E}, r AS (SELECT id, athlete, event, place, {_MARK_KEY} AS k, {_NOBODY} AS nobody FROM e WHERE event <> ''),
         m AS (SELECT a.id, a.k, a.nobody, (SELECT min(b.id) FROM r b WHERE b.place IS NOT NULL AND b.athlete = a.athlete AND b.event = a.event AND b.k = a.k) AS stored_id, min(a.id) OVER (PARTITION BY a.athlete, a.event, a.k) AS first_id FROM r a WHERE a.place IS NULL),
         o AS (SELECT *, CASE WHEN k IS NULL THEN 'held: no mark' WHEN nobody THEN 'held: no name' WHEN stored_id IS NOT NULL THEN 'linked' WHEN id <> first_id THEN 'duplicate' ELSE 'insert' END AS outcome FROM m)
         SELECT id, outcome, CASE WHEN outcome = 'linked' THEN stored_id END AS linked_id FROM o""",
