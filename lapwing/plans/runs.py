@@ -1,11 +1,11 @@
-"""Commit of runs: events as observations and facts."""
+"""Commit of runs and reconciliation of meets: events as observations, facts and results of two sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.operators import commits
+from lapwing.operators import commits, reconciliation
 from lapwing.sources.tables import table
 
 C = F.col
@@ -31,7 +31,17 @@ def event_run(spark: SparkSession, d: str) -> DataFrame:
     return commits.commit_run(run, facts)
 
 
-QUERIES = {"M6_M23_J41_event_run": event_run}
+def meet_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Events with k under 50 as a source's results, the others as local ones; the type in a week is a meet, the user a team. Every row of both sides once, with its outcome."""
+    e = _marked(spark, d).withColumn("meet", F.concat_ws(" ", "event", C("meet").cast("string"))).withColumn("round", F.when(C("k") % 7 > 3, "Finals").when(C("k") % 7 > 1, "Preliminaries"))
+    sources = e.where("k < 50").select(C("id").alias("key"), "meet", F.when(C("k") % 11 > 0, C("actor")).alias("team"), "mark", "place", "round", "lineup", C("id").alias("ordinal"))
+    locals_ = e.where("k >= 50").select("id", "meet", C("actor").alias("team"), (C("k") % 13 > 0).alias("valid"), "mark", "place", "round", "lineup")
+    kind = F.when(F.endswith("meet", F.lit("4")), "combined_child").otherwise("canonical")
+    meets = e.select("meet").distinct().select("meet", kind.alias("kind"), F.when(F.startswith("meet", F.lit("error 2")), "not_contested").otherwise("present").alias("snapshot"))
+    return reconciliation.reconcile_meets(meets, sources, locals_)[0]
+
+
+QUERIES = {"M6_M23_J41_event_run": event_run, "J39_meet_outcomes": meet_outcomes}
 
 ORACLE_SQL = {
     "M6_M23_J41_event_run": """
