@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lapwing.functions import events, marks, records, scores
+from lapwing.operators import ranks
 from lapwing.sources.entries import ENTRIES, entries
 from lapwing.sources.tables import table
 
@@ -277,7 +278,7 @@ def rereads(spark: SparkSession, d: str) -> DataFrame:
 def grouped_nulls(spark: SparkSession, d: str) -> DataFrame:
     """A number for each pair of team and division, nulls being a value of their own."""
     pairs = entries(spark, d).groupBy("team", "division").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.select("team", "division", "n", F.row_number().over(Window.orderBy(F.asc_nulls_first("team"), F.asc_nulls_first("division"))).alias("group_no"))
+    return ranks.ranked(pairs, [F.asc_nulls_first("team"), F.asc_nulls_first("division")], "group_no").select("team", "division", "n", C("group_no").cast("int").alias("group_no"))
 
 
 def season_bests(spark: SparkSession, d: str) -> DataFrame:
