@@ -50,16 +50,16 @@ def with_syncmers(docs: DataFrame, text: Column, name: str) -> DataFrame:
 
     What stands between the edges is compared one by one, until one is less than both: 4.6 comparisons of 14 are expected.
     """
-    edges = F.zip_with("__h", F.slice("__h", WINDOW, 1 << 30), lambda a, z: F.when(z.isNotNull(), F.least(a, z)))  # null where no k-mer is left
-    made = docs.withColumn("__h", hashes(text)).withColumn("__edge", edges)
+    none, last = F.lit(-1).cast("long"), lambda i: F.get("__h", i + (WINDOW - 1))
+    made = docs.withColumn("__h", hashes(text)).withColumn("__edge", F.transform("__h", lambda a, i: F.least(a, last(i))))
 
     def syncmer(edge: Column, i: Column) -> Column:
-        chosen = edge <= F.get("__h", i + (WINDOW - 2))
-        for n in reversed(range(1, WINDOW - 2)):  # nested to the right, so that the first failure ends it
+        chosen = last(i).isNotNull()  # a k-mer begins here
+        for n in reversed(range(1, WINDOW - 1)):  # nested to the right, so that the first failure ends it
             chosen = (edge <= F.get("__h", i + n)) & chosen
-        return F.when(chosen, anchor(i, F.xxhash64(F.get("__h", i), F.get("__h", i + (WINDOW - 1)))))
+        return F.when(chosen, anchor(i, F.xxhash64(F.get("__h", i), last(i)))).otherwise(none)
 
-    return made.withColumn(name, F.filter(F.transform("__edge", syncmer), lambda x: x.isNotNull())).drop("__h", "__edge")
+    return made.withColumn(name, F.array_remove(F.transform("__edge", syncmer), none)).drop("__h", "__edge")
 
 
 def or_whole(found: Column, text: Column) -> Column:
@@ -82,8 +82,8 @@ def printed(h: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two arrays of hashes as sets."""
-    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    """Dice coefficient of two sets of hashes, arrays without repeats."""
+    both = F.size(a) + F.size(b)
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
@@ -131,20 +131,21 @@ def edited_half(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = met.withColumn("tail", F.expr("left(next.text, n_chars - keep)")).withColumn("taken", F.length("tail")).withColumn("edited", F.concat("head", "tail"))
     short = F.when(F.col("keep") + F.col("taken") < 2 * K, F.col("edited")).otherwise("")
     met = with_syncmers(with_syncmers(met, F.concat(F.right("head", F.lit(K - 1)), F.left("tail", F.lit(K - 1))), "across"), short, "short")
-    within = lambda found, size: F.filter(found, lambda x: x < F.shiftleft(F.greatest(size - (K - 1), F.lit(0)).cast("long"), 32))
-    moved = lambda found, by: F.transform(found, lambda x: x + F.shiftleft(by.cast("long"), 32))
-    seam_at = F.greatest(F.col("keep") - (K - 1), F.lit(0))
-    parts = F.concat(within("found", F.col("keep")), moved("across", seam_at), moved(within("next.found", F.col("taken")), F.col("keep")))
+    upper = lambda x: F.shiftleft(F.greatest(x, F.lit(0)).cast("long"), 32)
+    met = met.withColumn("own_end", upper(F.col("keep") - (K - 1))).withColumn("their_end", upper(F.col("taken") - (K - 1))).withColumn("shift", upper(F.col("keep")))
+    own, theirs = F.filter("found", lambda x: x < F.col("own_end")), F.filter("next.found", lambda x: x < F.col("their_end"))
+    parts = F.concat(own, F.transform("across", lambda x: x + F.col("own_end")), F.transform(theirs, lambda x: x + F.col("shift")))
     made = met.withColumn("a", hashes_of(or_whole(F.col("found"), F.col("text")))).withColumn("b", hashes_of(or_whole(F.col("next.found"), F.col("next.text"))))
     made = made.withColumn("e", hashes_of(F.when(F.col("keep") + F.col("taken") < 2 * K, or_whole(F.col("short"), F.col("edited"))).otherwise(parts)))
+    made = made.withColumn("set_a", F.array_distinct("a")).withColumn("set_b", F.array_distinct("b")).withColumn("set_e", F.array_distinct("e"))
     return made.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("a")).alias("fingerprint"),
         printed(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"),
-        likeness(F.col("a"), F.col("b")).alias("near_next"),
+        likeness(F.col("set_a"), F.col("set_e")).alias("near_edited"),
+        likeness(F.col("set_a"), F.col("set_b")).alias("near_next"),
     )
 
 
