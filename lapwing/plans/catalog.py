@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.plans import audits, feeds, identities, leaderboards, matches, payloads, performances, queues, records, relations, runs
+from lapwing.plans import audits, catalogues, feeds, identities, leaderboards, matches, payloads, performances, queues, records, relations, runs
 
 
 def together(parts: list[dict]) -> dict:
@@ -15,6 +15,6 @@ def together(parts: list[dict]) -> dict:
     return out
 
 
-MODULES = (audits, feeds, identities, leaderboards, matches, payloads, performances, queues, records, relations, runs)
+MODULES = (audits, catalogues, feeds, identities, leaderboards, matches, payloads, performances, queues, records, relations, runs)
 QUERIES = together([m.QUERIES for m in MODULES])
 ORACLE_SQL = together([m.ORACLE_SQL for m in MODULES])
