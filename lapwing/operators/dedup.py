@@ -20,6 +20,12 @@ def survivors(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked(df, keys, order, "__rn").where("__rn = 1").drop("__rn")
 
 
+def counted_survivors(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str], size: str = "copies") -> DataFrame:
+    """keys and keep of the first row of each group, ascending, and the group's size. Both are summed up on the map side, so a key that many rows share sends one row a task. Nulls in order come first."""
+    first = F.min_by(F.struct(*keep), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    return df.groupBy(*keys).agg(first.alias("__first"), F.count(F.lit(1)).alias(size)).select(*keys, "__first.*", size)
+
+
 def split_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """Survivors, and the rows to archive before they are deleted."""
     marked = ranked(df, keys, order, "__rn")

@@ -26,8 +26,8 @@ def line_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One row of each order line: the latest shipped, then one with a discount, then by return flag and all else; and how many there were."""
     rows = table(spark, d, "lineitem").withColumn("ship", F.to_date("l_shipdate"))
     flag = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    order = [F.desc_nulls_last("ship"), F.desc(F.col("l_discount") > 0), flag.asc(), *[F.asc(c) for c in LINE_ORDER]]
-    return dedup.ranked(rows, ["l_orderkey", "l_linenumber"], order, size="copies").where("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship", "copies")
+    order = [F.col("ship").isNull(), -F.unix_date("ship"), ~(F.col("l_discount") > 0), flag, *[F.col(c) for c in LINE_ORDER]]
+    return dedup.counted_survivors(rows, ["l_orderkey", "l_linenumber"], order, ["l_partkey", "l_suppkey", "ship"])
 
 
 def survivor_of_group(spark: SparkSession, d: str) -> DataFrame:
@@ -127,19 +127,15 @@ def event_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """Of each customer: kinds of orders, days, finished orders, first and last day, the ten newest orders."""
-    newest = F.slice(F.transform(F.array_sort(F.collect_list(F.struct(-F.unix_date(F.to_date("o_orderdate")), "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), 1, 10)
-    return (
-        table(spark, d, "orders")
-        .groupBy("o_custkey")
-        .agg(
-            F.countDistinct("o_orderpriority").alias("n_kinds"),
-            F.countDistinct(F.to_date("o_orderdate")).alias("n_days"),
-            F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"),
-            F.min(F.to_date("o_orderdate")).alias("first_day"),
-            F.max(F.to_date("o_orderdate")).alias("last_day"),
-            F.array_join(newest, ",").alias("newest"),
-        )
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
+    counts = o.groupBy("o_custkey").agg(
+        F.countDistinct("o_orderpriority").alias("n_kinds"), F.countDistinct("day").alias("n_days"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )
+    # ten rows of a customer at most leave a task
+    ten = dedup.ranked(o, ["o_custkey"], [F.desc("day"), F.col("o_orderkey")]).where("rn <= 10")
+    newest = F.transform(F.array_sort(F.collect_list(F.struct("rn", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string"))
+    lists = ten.groupBy(F.col("o_custkey").alias("key")).agg(F.array_join(newest, ",").alias("newest"))
+    return counts.join(lists, F.col("o_custkey").eqNullSafe(F.col("key"))).drop("key")
 
 
 def live_groups(spark: SparkSession, d: str) -> DataFrame:
