@@ -1,11 +1,11 @@
-"""Positions of orders: group numbers, pages with a total, and jobs claimed by suppliers."""
+"""Positions of orders: group numbers, pages with a total, and jobs claimed by suppliers; a queue of customers patched by probes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.operators import ranks
+from lapwing.operators import probes, ranks
 from lapwing.sources.tables import table
 
 C = F.col
@@ -33,7 +33,21 @@ def claimed_orders(spark: SparkSession, d: str) -> DataFrame:
     return ranks.claim(jobs, workers, F.lit("1998-01-01").cast("date"), 7, order=[C("o_orderpriority"), C("attempts"), C("day"), C("job")]).select("job", "state", "attempts", "until", "worker", "token")
 
 
-QUERIES = {"W7_order_groups": order_groups, "T3_page_with_total": page_with_total, "T9_R6_claimed_orders": claimed_orders}
+def probed_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as meets of a recovery queue, orders as runs whose scope names their customer and the next: every state after all runs, and whether it changed."""
+    c = table(spark, d, "customer")
+    k = C("c_custkey")
+    queue = c.select(
+        k.alias("meet"), F.when(C("c_mktsegment") == "BUILDING", "complete").when(C("c_mktsegment") == "MACHINERY", "partial").otherwise("queued").alias("status"), F.lit("unknown").alias("relay_coverage"), F.lit(True).alias("needs_relays"),
+        (C("c_acctbal") > 4000).alias("needs_individual"), (C("c_nationkey") % 2).cast("long").alias("n_relay_facts"), F.when(C("c_nationkey") == 7, k).alias("n_quarantined"), F.lit("timeout").alias("last_error"), F.lit(None).cast("long").alias("run_id"),
+    )
+    seen, relays = F.floor(C("o_totalprice") / 1000), F.floor(C("o_totalprice")) % 3
+    scope = F.concat(F.lit('{"relays_only": '), F.when(C("o_orderpriority") == "1-URGENT", "false").otherwise("true"), F.lit(', "source_observation_count": '), seen.cast("string"), F.lit(', "source_relay_observation_count": '), relays.cast("string"), F.lit(', "meet_ids": ['), C("o_custkey").cast("string"), F.lit(", "), (C("o_custkey") + 1).cast("string"), F.lit("]}"))
+    runs = table(spark, d, "orders").select(C("o_orderkey").alias("run_id"), F.to_date("o_orderdate").alias("at"), F.when(C("o_orderstatus") == "F", "apply").otherwise("dry_run").alias("mode"), F.lit("succeeded").alias("status"), scope.alias("scope"))
+    return probes.apply_probes(queue, runs).select("meet", "after.*", "changed")
+
+
+QUERIES = {"M11_probed_customers": probed_customers, "W7_order_groups": order_groups, "T3_page_with_total": page_with_total, "T9_R6_claimed_orders": claimed_orders}
 
 ORACLE_SQL = {
     "W7_order_groups": "SELECT o_orderkey, o_custkey, nullif(o_orderpriority, '5-LOW') AS priority, dense_rank() OVER (ORDER BY o_custkey NULLS FIRST, nullif(o_orderpriority, '5-LOW') NULLS FIRST) AS group_no FROM orders",
@@ -47,4 +61,13 @@ ORACLE_SQL = {
         t AS (SELECT job, worker FROM q JOIN k USING (turn))
         SELECT f.job, CASE WHEN t.job IS NOT NULL THEN 'leased' ELSE state END AS state, attempts + (t.job IS NOT NULL)::INT AS attempts, CASE WHEN t.job IS NOT NULL THEN DATE '1998-01-08' WHEN state = 'leased' THEN day + 30 END AS until,
                coalesce(t.worker, CASE WHEN state = 'leased' THEN w END) AS worker, CASE WHEN t.job IS NOT NULL THEN sha256(f.job || '|' || (attempts + 1) || '|' || t.worker) END AS token FROM f LEFT JOIN t ON t.job = f.job""",
+    "M11_probed_customers": """
+        WITH q AS (SELECT c_custkey AS meet, CASE c_mktsegment WHEN 'BUILDING' THEN 'complete' WHEN 'MACHINERY' THEN 'partial' ELSE 'queued' END AS status, c_acctbal > 4000 AS i, c_nationkey % 2 AS facts, CASE WHEN c_nationkey = 7 THEN c_custkey END AS held FROM customer),
+        r AS (SELECT o_orderkey AS run_id, unnest([o_custkey, o_custkey + 1]) AS meet, floor(o_totalprice)::BIGINT % 3 AS relays, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT' AND floor(o_totalprice / 1000) > 0),
+        m AS (SELECT r.*, row_number() OVER (PARTITION BY meet ORDER BY day, run_id) AS n, relays = 0 AND coalesce(held, 0) = 0 AND NOT i AS closes FROM r JOIN q USING (meet) WHERE status <> 'complete'),
+        a AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.meet = m.meet AND x.closes AND x.n < m.n)),
+        l AS (SELECT meet, arg_max(relays, n) AS r, arg_max(run_id, n) AS last_run, min(relays) AS least, bool_or(closes) AS closed FROM a GROUP BY meet)
+        SELECT q.meet, CASE WHEN last_run IS NULL THEN status WHEN held > 0 THEN 'partial' WHEN closed THEN 'complete' ELSE status END AS status, CASE WHEN last_run IS NULL THEN 'unknown' WHEN r > 0 THEN 'present' ELSE 'absent' END AS relay_coverage,
+               CASE WHEN last_run IS NULL THEN true ELSE r > 0 AND facts = 0 END AS needs_relays, CASE WHEN last_run IS NULL THEN 'timeout' WHEN held > 0 THEN 'source_observations_quarantined=' || held WHEN least = 0 THEN NULL ELSE 'timeout' END AS last_error, last_run AS run_id, last_run IS NOT NULL AS changed
+        FROM q LEFT JOIN l USING (meet)""",
 }
