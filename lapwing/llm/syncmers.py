@@ -4,7 +4,7 @@ A k-mer, K characters, is a closed syncmer if the least of the hashes of its S-m
 k-mer alone, so the same passage gives the same anchors wherever it stands, and what is cut, moved or joined keeps those it had. Two in K - S + 1 k-mers are
 chosen, and any K - S neighbours have one. As K is less than twice S, the first and last S-mer spell the k-mer out: an anchor is the hash of their two hashes.
 
-A fingerprint is all anchors of a text in their order, as hexadecimal digits. Likeness is the Dice coefficient of two sets of anchors; ``shared_spans`` matches by position.
+A fingerprint is all anchors of a text in their order, 32 bits of each in decimal digits. Likeness is the Dice coefficient of two sets of anchors; ``shared_spans`` matches by position.
 
 Neighbours in the order of ids meet without one task for all: bounds taken from the quantiles of the ids split the order into buckets of about ROWS rows, each
 sorted by itself, and the first row of a bucket also goes to the one before it. Texts are shuffled once.
@@ -77,8 +77,8 @@ def hashes_of(found: Column) -> Column:
 
 
 def printed(h: Column) -> Column:
-    """A fingerprint: hashes in order, eight hexadecimal digits each."""
-    return F.lower(F.array_join(F.transform(h, lambda x: F.substring(F.hex(x + (LOW + 1)), 2, 8)), ""))
+    """A fingerprint: hashes in order, in decimal digits with commas between."""
+    return F.array_join(h.cast("array<string>"), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -132,9 +132,9 @@ def edited_half(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     short = F.when(F.col("keep") + F.col("taken") < 2 * K, F.col("edited")).otherwise("")
     met = with_syncmers(with_syncmers(met, F.concat(F.right("head", F.lit(K - 1)), F.left("tail", F.lit(K - 1))), "across"), short, "short")
     upper = lambda x: F.shiftleft(F.greatest(x, F.lit(0)).cast("long"), 32)
-    met = met.withColumn("own_end", upper(F.col("keep") - (K - 1))).withColumn("their_end", upper(F.col("taken") - (K - 1))).withColumn("shift", upper(F.col("keep")))
+    met = met.withColumn("own_end", upper(F.col("keep") - (K - 1))).withColumn("their_end", upper(F.col("taken") - (K - 1)))
     own, theirs = F.filter("found", lambda x: x < F.col("own_end")), F.filter("next.found", lambda x: x < F.col("their_end"))
-    parts = F.concat(own, F.transform("across", lambda x: x + F.col("own_end")), F.transform(theirs, lambda x: x + F.col("shift")))
+    parts = F.concat(own, "across", theirs)  # positions are those in the three texts; from here on only the order counts
     made = met.withColumn("a", hashes_of(or_whole(F.col("found"), F.col("text")))).withColumn("b", hashes_of(or_whole(F.col("next.found"), F.col("next.text"))))
     made = made.withColumn("e", hashes_of(F.when(F.col("keep") + F.col("taken") < 2 * K, or_whole(F.col("short"), F.col("edited"))).otherwise(parts)))
     made = made.withColumn("set_a", F.array_distinct("a")).withColumn("set_b", F.array_distinct("b")).withColumn("set_e", F.array_distinct("e"))

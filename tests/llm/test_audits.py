@@ -116,7 +116,7 @@ def halves(rows):
         half = len(t) // 2
         e = t[: len(t) - half] + u[:half]
         a, b, c = anchors(t), anchors(e), anchors(u)
-        show = lambda x: "".join(f"{h & 0xFFFFFFFF:08x}" for _, h in x)
+        show = lambda x: ",".join(str(h & 0xFFFFFFFF) for _, h in x)
         out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), show(a), show(b), dice(a, b), dice(a, c)))
     return collections.Counter(out)
 
