@@ -11,7 +11,7 @@ from lapwing.functions import marks
 from lapwing.operators import decisions, dedup, intervals, matching, upsert
 from lapwing.plans import catalog, relations
 
-TABLES = "region nation customer supplier part orders lineitem events pages documents".split()
+TABLES = "region nation customer supplier part orders lineitem events pages documents benchmark labels conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 
