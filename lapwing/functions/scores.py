@@ -116,6 +116,53 @@ def curves() -> list[tuple[str, str, bool, float, float, float, float | None, fl
     return out
 
 
+#: Event of a coefficients file, and the fastest and slowest time in seconds that is taken for real.
+TIMES = """
+60m 6 12
+100m 9 18
+200m 19 35
+300m 30 55
+400m 43 75
+500m 58 100
+600m 72 120
+800m 100 180
+1000m 130 240
+1500m 200 360
+Mile 220 400
+3000m 450 720
+5000m 750 1200
+10000m 1560 2400
+55mH 6.5 12
+60mH 7 12
+100mH 11 20
+110mH 12 22
+400mH 45 90
+"""
+#: Keys of the genders in a coefficients file, and the ending of an event's short-track curve.
+FILE_GENDERS, SHORT_TRACK = {"men": "M", "women": "F"}, " sh"
+
+
+def file_curves(spark: SparkSession, path: str) -> DataFrame:
+    """gender, event, short, a, b, c of a JSON file of gender -> event -> [a, b, c]; short: the curve is for short tracks. Entries that aren't three numbers are left out."""
+    read = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("g", "events"))
+    each = read.select("g", F.explode("events").alias("name", "k")).where("size(k) = 3 AND NOT exists(k, x -> x IS NULL)")
+    gender = F.coalesce(*[F.when(F.col("g") == k, v) for k, v in FILE_GENDERS.items()])
+    short = F.endswith("name", F.lit(SHORT_TRACK))
+    return each.select(gender.alias("gender"), F.when(short, F.regexp_replace("name", f"{SHORT_TRACK}$", "")).otherwise(F.col("name")).alias("event"), short.alias("short"), F.col("k")[0].alias("a"), F.col("k")[1].alias("b"), F.col("k")[2].alias("c")).where("gender IS NOT NULL")
+
+
+def scored_by_file(spark: SparkSession, marks: DataFrame, curves: DataFrame) -> DataFrame:
+    """marks (gender, event, indoor, x and more) with points by file_curves: indoors the short-track curve where there is one. Null without a curve, or where a time can't be real."""
+    times = spark.createDataFrame([(e, float(a), float(b)) for e, a, b in _rows(TIMES)], "event string, fastest double, slowest double")
+    pick = lambda short, name: curves.where(F.col("short") == short).select("gender", "event", F.struct("a", "b", "c").alias(name))
+    met = marks.join(pick(True, "__s"), ["gender", "event"], "left").join(pick(False, "__l"), ["gender", "event"], "left").join(F.broadcast(times), "event", "left")  # under 20 rows
+    k = F.coalesce(F.when(F.col("indoor"), F.col("__s")), F.col("__l"))
+    x = F.col("x")
+    points = F.greatest(F.lit(0), F.round(k["a"] * x * x + k["b"] * x + k["c"]).cast("int"))
+    real = F.coalesce((x >= F.col("fastest")) & (x <= F.col("slowest")), F.lit(True))
+    return met.withColumn("points", F.when(k.isNotNull() & x.isNotNull() & real, points)).drop("__s", "__l", "fastest", "slowest")
+
+
 def scored(spark: SparkSession, marks: DataFrame) -> DataFrame:
     """marks (gender, event, indoor, x and more) with points; null where no curve applies, the mark is out of bounds, or the points are not in (0, 1400]."""
     table = spark.createDataFrame(curves(), "gender string, event string, indoor boolean, a double, b double, c double, most double, least double")

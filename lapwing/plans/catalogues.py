@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.operators import profiles, rosters
 from lapwing.operators.profiles import ForeignKey
-from lapwing.sources.tables import table
+from lapwing.sources.tables import shared_folder, table
 
 C = F.col
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
@@ -36,13 +33,6 @@ def catalogue_keys(spark: SparkSession, d: str) -> DataFrame:
     return profiles.foreign_keys(_tables(spark, d), KEYS)
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='lapwing-')).rstrip('/')}/rosters-{uuid.uuid4().hex}"
-
-
 def roster_changes(spark: SparkSession, d: str) -> DataFrame:
     """Customers as athletes of their nations' schools against a later roster in files, a school a file: some have left, moved, changed their year or name, or come with a new id."""
     k = C("c_custkey") % 10
@@ -56,7 +46,7 @@ def roster_changes(spark: SparkSession, d: str) -> DataFrame:
     people = lambda g: F.collect_list(F.when(C("gender") == g, F.struct("source_id", "full_name", "class_year")))
     schools = later.groupBy("school_id").agg(people("M").alias("men_roster"), people("F").alias("women_roster"))
     files = schools.select(F.concat(F.lit("division"), (C("school_id") % 3).cast("string")).alias("division"), F.to_json(F.struct("school_id", F.concat(F.lit("School "), C("school_id").cast("string")).alias("school_name"), F.lit("2026-02-01").alias("scraped_at"), "men_roster", "women_roster")).alias("value"))
-    path = _shared(spark)
+    path = shared_folder(spark, "rosters")
     files.repartition("division").write.option("maxRecordsPerFile", 1).partitionBy("division").text(path)
     return rosters.diff(base.drop("key"), rosters.consolidated(spark, path, pattern="*.txt").drop("division", "school_name"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from lapwing.functions import events, marks, records, scores
 from lapwing.operators import ranks
 from lapwing.sources.entries import ENTRIES, entries
-from lapwing.sources.tables import table
+from lapwing.sources.tables import shared_folder, table
 
 C = F.col
 
@@ -186,6 +188,28 @@ def scored_entries(spark: SparkSession, d: str) -> DataFrame:
     return scores.scored(spark, rows).select("id", "gender", "event", "indoor", "x", "points")
 
 
+#: Names of events in a coefficients file.
+_FILE_NAMES = {"60mh": "60mH", "mile": "Mile", "hj": "HJ", "pv": "PV", "lj": "LJ", "tj": "TJ", "sp": "SP", "wt": "WT"}
+
+
+def _file_name(event: str) -> str:
+    return _FILE_NAMES.get(event, event)
+
+
+def file_scored_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The same entries with points by a file of coefficients, which is written from the curves and read again: indoor curves as short-track ones."""
+    found: dict[str, dict[str, list[float]]] = {"men": {}, "women": {}}
+    for g, event, indoor, a, b, c, *_ in scores.curves():
+        two_curves = sum(1 for x in scores.curves() if x[:2] == (g, event) and x[3:6] != (a, b, c)) > 0
+        if two_curves or not indoor:
+            found["men" if g == "M" else "women"][_file_name(event) + (scores.SHORT_TRACK if two_curves and indoor else "")] = [a, b, c]
+    path = shared_folder(spark, "coefficients")
+    spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.text(path)
+    names = F.create_map(*[F.lit(x) for event in _TYPICAL for x in (event, _file_name(event))])
+    rows = scored_entries(spark, d).drop("points").withColumn("event", names[C("event")])
+    return scores.scored_by_file(spark, rows, scores.file_curves(spark, path)).select("id", "gender", "event", "indoor", "x", "points")
+
+
 def points_board(spark: SparkSession, d: str) -> DataFrame:
     """Best points of each athlete, the best 50 of these: the leaderboard with real curves."""
     rows = scored_entries(spark, d).join(entries(spark, d).select("id", "athlete"), "id").where("points IS NOT NULL")
@@ -331,7 +355,7 @@ QUERIES = {
     "F2_divisions": divisions, "F3_optional_filters": optional_filters, "F4_name_search": name_search, "F5_meet_or_team_search": meet_or_team_search, "F6_sixty_metres": sixty_metres,
     "F8_key_or_fallback": key_or_fallback, "F9_mark_shapes": mark_shapes, "F10_season_filter": season_filter, "F12_F13_competition_days": competition_days, "F15_visible_orders": visible_orders, "F16_shown_names": shown_names,
     "X10_X11_X12_values": values, "X2_X3_X6_X15_X40_mark_values": mark_values, "X5_X7_X8_keys": keys, "X9_T6_rounds": rounds, "X14_X16_X41_event_kinds": event_kinds, "X25_X26_X27_F14_people": people, "X28_name_likeness": name_likeness,
-    "X29_X30_X31_X33_places": places, "Q19_platform_drift": platform_drift, "X42_X43_snapshots": snapshots, "X22_X24_F11_scored_entries": scored_entries, "W2_points_board": points_board,
+    "X29_X30_X31_X33_places": places, "Q19_platform_drift": platform_drift, "X42_X43_snapshots": snapshots, "X22_X24_F11_scored_entries": scored_entries, "X23_file_scored_entries": file_scored_entries, "W2_points_board": points_board,
     "X21_canonical_events": canonical_events, "M2_source_rows": source_rows, "R4_rereads": rereads, "M1_X13_observations": observations, "M4_M5_matched_rows": matched_rows, "W7_grouped_nulls": grouped_nulls, "W13_season_bests": season_bests, "W17_canonical_meets": canonical_meets, "W18_shown_once": shown_once,
     "T4_T5_event_list": event_list, "T2_newest": newest, "U3_meets_of_both": meets_of_both, "U6_event_names_by_gender": event_names_by_gender,
 }
@@ -368,6 +392,8 @@ _SCORED = f"""k(gender, event, indoor, a, b, c, most, least) AS (VALUES {_CURVES
     s AS (SELECT q.*, greatest(0, round(a * x * x + b * x + c)::INT) AS p, coalesce(x <= most, true) AND coalesce(x >= least, true) AS sound, a IS NOT NULL AS has FROM q LEFT JOIN k ON q.gender = k.gender AND q.event = k.event AND q.indoor = k.indoor),
     t AS (SELECT id, athlete, gender, event, indoor, x, CASE WHEN has AND sound AND p > 0 AND p <= 1400 THEN p END AS points FROM s)"""
 _E = f"WITH {ENTRIES}"
+_REAL = {e: (a, b) for e, a, b in (line.split() for line in scores.TIMES.strip().splitlines())}
+_FILE_TIMES = ", ".join(f"('{e}', '{_file_name(e)}', {_REAL.get(_file_name(e), ('NULL',) * 2)[0]}::DOUBLE, {_REAL.get(_file_name(e), ('NULL',) * 2)[1]}::DOUBLE)" for e in _TYPICAL)
 
 ORACLE_SQL = {
     "F2_divisions": f"{_E} " + " UNION ALL ".join(f"SELECT '{a}' AS asked, count(*) AS n, min(id) AS first_id FROM e WHERE {'true' if a == 'all' else 'lower(division) IN (' + ', '.join(repr(x.lower()) for x in records.DIVISIONS.get(a, [a])) + ')'}" for a in (*records.DIVISIONS, "Other", "all")),
@@ -415,6 +441,9 @@ ORACLE_SQL = {
     "X42_X43_snapshots": f"""{_E}, j AS (SELECT id, mark, team, '{{' || concat_ws(',', '"event":' || to_json(event), '"mark":' || to_json(mark), '"name":' || to_json(name), '"place":' || place, '"team":' || to_json(team)) || '}}' AS json FROM e)
         SELECT id, json, sha256(json) AS digest, mark, team IS NOT NULL AS has_team FROM j""",
     "X22_X24_F11_scored_entries": f"{_E}, {_SCORED} SELECT id, gender, event, indoor, x, points FROM t",
+    "X23_file_scored_entries": f"""{_E}, {_SCORED}, w(event, name, fastest, slowest) AS (VALUES {_FILE_TIMES})
+        SELECT id, t.gender, w.name AS event, t.indoor, t.x, CASE WHEN k.a IS NOT NULL AND coalesce(x BETWEEN fastest AND slowest, true) THEN greatest(0, round(k.a * x * x + k.b * x + k.c)::INT) END AS points
+        FROM t JOIN w USING (event) LEFT JOIN k ON k.gender = t.gender AND k.event = t.event AND k.indoor = t.indoor""",
     "W2_points_board": f"{_E}, {_SCORED} SELECT athlete, points, id, event FROM (SELECT *, row_number() OVER (PARTITION BY athlete ORDER BY points DESC, id) AS n FROM t WHERE points IS NOT NULL) WHERE n = 1 ORDER BY points DESC, id LIMIT 50",
     "M1_X13_observations": f"""{_E}, {_PARSED},
         o AS (SELECT *, CASE WHEN regexp_matches(event, 'Jump|Put') THEN 'distance' WHEN event = '' THEN 'unknown' WHEN event LIKE '%Medley%' THEN 'points' ELSE 'time' END AS measure, nullif(trim(mark), '') AS mark_raw,
