@@ -148,9 +148,10 @@ def profile_matches(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda c: F.get(F.array(*[F.lit(n) for n in names]), (F.col(c) % 4).cast("int"))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", pick("c_custkey").alias("theirs"))
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", pick("s_suppkey").alias("ours"))
+    c = evidence.distinct_profiles(c.withColumn("college", F.col("c_custkey") % 3 == 0), "c_custkey", ["c_nationkey", "c_mktsegment", "theirs", "college"])
     pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
     school = (F.col("s_suppkey") % 2 == 0) & (F.col("c_mktsegment") == "BUILDING")
-    return evidence.profile_matches(pairs, "s_suppkey", "c_custkey", F.col("ours"), F.col("theirs"), school, F.col("c_custkey") % 3 == 0)
+    return evidence.profile_matches(pairs, "s_suppkey", "c_custkey", F.col("ours"), F.col("theirs"), school, F.col("college"))
 
 
 def region_labels(spark: SparkSession, d: str) -> DataFrame:
