@@ -55,15 +55,29 @@ def null_safe_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(groups, (F.col("l_orderkey") == F.col("k")) & F.col("discount").eqNullSafe(F.col("dk"))).drop("k", "dk")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    facts = _days(spark, d).select("o_custkey", "day", "o_orderpriority", "o_orderstatus").distinct()
-    other = facts.withColumnRenamed("o_custkey", "b")
-    return facts.withColumnRenamed("o_custkey", "a").join(other, ["day", "o_orderpriority", "o_orderstatus"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers of equal sets of (day, priority, status) as classes, and what two classes share.
+
+    members: member, rep (the least customer of the class), n_keys, n_members; pairs: a < b (representatives), n_shared >= 2.
+    """
+    key = ["day", "o_orderpriority", "o_orderstatus"]
+    facts = _days(spark, d).select(F.col("o_custkey").alias("member"), *key).dropna().distinct()
+    # a set by its size and two hashes of 64 bits
+    sets = facts.groupBy("member").agg(F.count(F.lit(1)).alias("n_keys"), F.bit_xor(F.xxhash64(*key)).alias("x"), F.bit_xor(F.xxhash64(F.lit("b"), *key)).alias("y"))
+    classes = sets.groupBy("n_keys", "x", "y").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n_members"))
+    members = sets.join(classes, ["n_keys", "x", "y"]).select("member", "rep", "n_keys", "n_members")
+    shown = facts.join(classes.select(F.col("rep").alias("member")), "member", "left_semi")
+    pairs = shown.withColumnRenamed("member", "a").join(shown.withColumnRenamed("member", "b"), key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
+    return members, pairs
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of customers that ordered alike on the same day at least twice."""
-    return _pairs(spark, d).where("n_shared >= 2")
+    """Pairs of customers that ordered alike on the same day at least twice: found between classes of customers that always ordered alike, then laid out for their members."""
+    members, pairs = _alike(spark, d)
+    within = members.where("member = rep AND n_keys >= 2 AND n_members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n_keys").alias("n_shared"))
+    side = lambda rep, name: members.select(F.col("rep").alias(rep), F.col("member").alias(name))
+    met = pairs.unionByName(within).join(side("a", "one"), "a").join(side("b", "two"), "b").where("a < b OR one < two")
+    return met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), "n_shared")
 
 
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:

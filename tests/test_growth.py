@@ -4,8 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import evidence
-from lapwing.plans import identities
+from lapwing.operators import evidence, fuzzy
+from lapwing.plans import identities, relations
+from lapwing.sources import html
 
 
 def most_joined(df):
@@ -49,3 +50,8 @@ def test_people_are_corroborated_by_sums(spark):
     want = [(1, 2, "exact_name_gender_school_meet_participation"), (7, 8, "exact_name_gender_school_meet_participation")]
     want += [(i, 17, "exact_name_gender_team_participation") for i in range(300) if i % 3 == 2]
     assert sorted(map(tuple, rows)) == sorted(want) and most <= 400
+def test_overlap_pairs_meet_by_classes(spark, tmp_path):
+    day = F.to_timestamp(F.format_string("2024-01-0%d", F.col("id") % 2 + 1))
+    spark.range(400).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows, most = most_joined(relations.overlap_pairs(spark, str(tmp_path)))
+    assert {tuple(r) for r in rows} == {(a, b, 2) for b in range(200) for a in range(b)} and most <= len(rows)
