@@ -81,8 +81,11 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components over those pairs."""
-    return matching.components(overlap_pairs(spark, d).select("a", "b"))
+    """Connected components over those pairs, found between classes; a class stands for its members, whose least one represents it."""
+    members, pairs = _alike(spark, d)
+    found = matching.components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    met = members.join(found, "rep", "left").where("root IS NOT NULL OR n_keys >= 2 AND n_members > 1")
+    return met.select(F.col("member").alias("node"), F.coalesce("root", "rep").alias("root"))
 
 
 def copied_orders(spark: SparkSession, d: str) -> DataFrame:

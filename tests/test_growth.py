@@ -55,3 +55,9 @@ def test_overlap_pairs_meet_by_classes(spark, tmp_path):
     spark.range(400).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
     rows, most = most_joined(relations.overlap_pairs(spark, str(tmp_path)))
     assert {tuple(r) for r in rows} == {(a, b, 2) for b in range(200) for a in range(b)} and most <= len(rows)
+def test_components_take_no_pairs_of_a_class(spark, tmp_path, monkeypatch):
+    day = F.to_timestamp(F.format_string("2024-01-0%d", F.col("id") % 2 + 1))
+    spark.range(80).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    plain, edges = relations.matching.components, []
+    monkeypatch.setattr(relations.matching, "components", lambda pairs: edges.append(pairs.count()) or plain(pairs))
+    assert {tuple(r) for r in relations.overlap_components(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(40)} and edges == [0]
