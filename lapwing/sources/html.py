@@ -24,6 +24,11 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with columns that a filter may follow: behind a generator they aren't worked out once for the filter and once more for the row."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without html, one row per body row of each table: table_no, row_no (from 0), heads (texts of the last header row), cells (HTML of each td with its tag)."""
     keep = [c for c in pages.columns if c != html]
@@ -31,8 +36,10 @@ def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     last = F.try_element_at(_all(F.regexp_extract("__table", r"(?is)<thead\b[^>]*>(.*?)</thead>", 1), r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(-1))
     heads = F.transform(F.coalesce(_all(last, r"(?is)<th\b[^>]*>(.*?)</th>"), F.array().cast("array<string>")), clean)
     body = F.regexp_replace("__table", r"(?is)<thead\b[^>]*>.*?</thead>", "")
-    rows = tables.select(*keep, "table_no", heads.alias("heads"), F.posexplode(_all(body, r"(?is)<tr\b[^>]*>(.*?)</tr>")).alias("row_no", "__row"))
-    return rows.withColumn("cells", _all(F.col("__row"), r"(?is)<td\b[^>]*>.*?</td>", 0)).where(F.size("cells") > 0).drop("__row")
+    # heads first: beside the generator they would be worked out for each row of the table
+    tables = tables.select(*keep, "table_no", heads.alias("heads"), body.alias("__body"))
+    cells = F.transform(_all(F.col("__body"), r"(?is)<tr\b[^>]*>(.*?)</tr>"), lambda row: _all(row, r"(?is)<td\b[^>]*>.*?</td>", 0))
+    return tables.select(*keep, "table_no", "heads", F.posexplode(cells).alias("row_no", "cells")).where(F.size("cells") > 0)
 
 
 def head_index(heads: Column, pattern: str) -> Column:
@@ -83,8 +90,10 @@ def multi_event_summary(pages: DataFrame, html: str = "html") -> DataFrame:
     """Rows of the first table with a POINTS column: identity, place and points; rows whose score is no number or that name no athlete are left out."""
     rows = identity(table_rows(pages, html).where("table_no = 0").withColumn("__at", head_index(F.col("heads"), "(?i)^points$")).where("__at >= 0"))
     score, place = cell(F.col("cells"), F.col("__at")), F.regexp_extract(cell(F.col("cells"), F.lit(0)), r"^\s*(\d+)", 1).try_cast("int")
-    out = rows.withColumn("points", F.when(score.rlike(r"^\d+(\.\d+)?$"), score.try_cast("double"))).withColumn("place", F.when(place > 0, place))
-    return out.where("points IS NOT NULL AND athlete_name <> ''").drop("__at")
+    out = rows.withColumn("__score", score).withColumn("__place", place).withColumnRenamed("athlete_name", "__name")
+    points = F.when(F.col("__score").rlike(r"^\d+(\.\d+)?$"), F.col("__score").try_cast("double"))
+    out = _once(out, F.col("__name").alias("athlete_name"), points.alias("points"), F.when(F.col("__place") > 0, F.col("__place")).alias("place"))
+    return out.where("points IS NOT NULL AND athlete_name <> ''").drop("__at", "__score", "__place", "__name")
 
 
 def _visible(cell_html: Column, hidden: Column) -> Column:
@@ -105,4 +114,5 @@ def event_rows(pages: DataFrame, html: str = "html", relay: bool = False) -> Dat
     mark = F.coalesce(first(rf"{time}|^\d+(\.\d+)?m$|^\d+-\d+(\.\d+)?$|^\d+'\s*\d"), first("(?i)^(dns|dnf|dq|fs|scr|nt|nm|nh|nd)$"))
     number, heat = F.regexp_extract(row, r"\bround_(\d+)", 1), F.regexp_extract(row, r"\bheat_\w+?_(\w+?)\b", 1)
     label = F.when(number == "4", "Finals").when(number != "", "Preliminaries").when(heat != "", F.concat(F.lit("Heat "), heat)).otherwise("Finals")
-    return rows.withColumn("round", label).withColumn("mark_raw", mark).withColumn("place", F.regexp_extract(F.get(texts, F.lit(0)), r"^(\d+)", 1).try_cast("int")).where("mark_raw IS NOT NULL").drop("__hidden", "__texts", "__row")
+    out = _once(rows, label.alias("round"), mark.alias("mark_raw"), F.regexp_extract(F.get(texts, F.lit(0)), r"^(\d+)", 1).try_cast("int").alias("place"))
+    return out.where("mark_raw IS NOT NULL").drop("__hidden", "__texts", "__row")

@@ -61,3 +61,9 @@ def test_components_take_no_pairs_of_a_class(spark, tmp_path, monkeypatch):
     plain, edges = relations.matching.components, []
     monkeypatch.setattr(relations.matching, "components", lambda pairs: edges.append(pairs.count()) or plain(pairs))
     assert {tuple(r) for r in relations.overlap_components(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(40)} and edges == [0]
+def test_cells_are_read_once(spark):
+    pages = spark.createDataFrame([("<table><thead><tr><th>Pl</th></tr></thead><tr><td>1</td><td>a</td><td>b</td><td>c</td><td>1.50m</td></tr></table>",)], "html string")
+    df = html.event_rows(pages).select("place", "mark_raw")
+    assert df.collect() == [(1, "1.50m")] and df._jdf.queryExecution().optimizedPlan().toString().count("(?i)^(dns") == 1
+    text = html.table_rows(pages)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "<thead" not in text[0]  # the heads lie below the generator of rows
