@@ -50,6 +50,12 @@ def test_people_are_corroborated_by_sums(spark):
     want = [(1, 2, "exact_name_gender_school_meet_participation"), (7, 8, "exact_name_gender_school_meet_participation")]
     want += [(i, 17, "exact_name_gender_team_participation") for i in range(300) if i % 3 == 2]
     assert sorted(map(tuple, rows)) == sorted(want) and most <= 400
+def test_common_words_of_meets_do_not_meet(spark):
+    side = spark.range(200).select("id", F.concat(F.lit("hill lake "), F.col("id").cast("string"), F.lit("x")).alias("name"), F.lit("ames").alias("location"), F.lit(None).cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
+    rows, most = most_joined(fuzzy.match_meets(side, side))
+    assert sorted(map(tuple, rows)) == [(i, i, 105) for i in range(200)] and most <= 1200
+
+
 def test_overlap_pairs_meet_by_classes(spark, tmp_path):
     day = F.to_timestamp(F.format_string("2024-01-0%d", F.col("id") % 2 + 1))
     spark.range(400).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
