@@ -50,6 +50,14 @@ def test_people_are_corroborated_by_sums(spark):
     want = [(1, 2, "exact_name_gender_school_meet_participation"), (7, 8, "exact_name_gender_school_meet_participation")]
     want += [(i, 17, "exact_name_gender_team_participation") for i in range(300) if i % 3 == 2]
     assert sorted(map(tuple, rows)) == sorted(want) and most <= 400
+
+
+def test_segments_stay_out_of_the_driver(spark):
+    one = spark.createDataFrame([("ann lee marie",)], "name string")
+    df = fuzzy.close_names(one, one)
+    assert df.collect() == [("ann lee marie", "ann lee marie")] and "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_common_words_of_meets_do_not_meet(spark):
     side = spark.range(200).select("id", F.concat(F.lit("hill lake "), F.col("id").cast("string"), F.lit("x")).alias("name"), F.lit("ames").alias("location"), F.lit(None).cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
     rows, most = most_joined(fuzzy.match_meets(side, side))
@@ -61,12 +69,16 @@ def test_overlap_pairs_meet_by_classes(spark, tmp_path):
     spark.range(400).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
     rows, most = most_joined(relations.overlap_pairs(spark, str(tmp_path)))
     assert {tuple(r) for r in rows} == {(a, b, 2) for b in range(200) for a in range(b)} and most <= len(rows)
+
+
 def test_components_take_no_pairs_of_a_class(spark, tmp_path, monkeypatch):
     day = F.to_timestamp(F.format_string("2024-01-0%d", F.col("id") % 2 + 1))
     spark.range(80).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
     plain, edges = relations.matching.components, []
     monkeypatch.setattr(relations.matching, "components", lambda pairs: edges.append(pairs.count()) or plain(pairs))
     assert {tuple(r) for r in relations.overlap_components(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(40)} and edges == [0]
+
+
 def test_cells_are_read_once(spark):
     pages = spark.createDataFrame([("<table><thead><tr><th>Pl</th></tr></thead><tr><td>1</td><td>a</td><td>b</td><td>c</td><td>1.50m</td></tr></table>",)], "html string")
     df = html.event_rows(pages).select("place", "mark_raw")
