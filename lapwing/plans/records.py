@@ -282,12 +282,14 @@ def canonical_events(spark: SparkSession, d: str) -> DataFrame:
 def source_rows(spark: SparkSession, d: str) -> DataFrame:
     """Source rows fitted to what is known: team by its unique name, athlete by its unique name key, a key within source and meet; a relay has participants (its team's names), others one."""
     e = entries(spark, d)
-    unique = lambda key, value: e.select(key.alias("k"), value.alias("v")).where("k <> ''").groupBy("k").agg(F.countDistinct("v").alias("c"), F.min("v").alias("v")).where("c = 1")
-    teams = unique(records.team_name(C("team")), F.length("team")).select(C("k").alias("team_key"), C("v").alias("team_id"))
-    people = unique(marks.name_key(C("name")), C("athlete")).select(C("k").alias("name_key"), C("v").alias("athlete_id"))
+    # a few names may have all the rows: each known name stands there once for each of 64 shares, so that no task gets the rows of a name
+    shares, share = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("share"), F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("share")
+    unique = lambda key, value: e.select(key.alias("k"), value.alias("v")).where("k <> ''").groupBy("k").agg(F.min("v").alias("v"), F.max("v").alias("m")).where("v = m").select("k", "v", shares)
+    teams = unique(records.team_name(C("team")), F.length("team")).select(C("k").alias("team_key"), C("v").alias("team_id"), "share")
+    people = unique(marks.name_key(C("name")), C("athlete")).select(C("k").alias("name_key"), C("v").alias("athlete_id"), "share")
     relay = F.coalesce(records.is_relay_source(C("event")), F.lit(False))
-    rows = e.select("id", records.team_name(C("team")).alias("team_key"), marks.name_key(C("name")).alias("name_key"), marks.source_record_key(records.meet_key(C("meet")), C("event"), C("id")).alias("scoped_key"), relay.alias("relay"))
-    met = rows.join(teams, "team_key", "left").join(people, "name_key", "left")
+    rows = e.select("id", share, records.team_name(C("team")).alias("team_key"), marks.name_key(C("name")).alias("name_key"), marks.source_record_key(records.meet_key(C("meet")), C("event"), C("id")).alias("scoped_key"), relay.alias("relay"))
+    met = rows.join(teams, ["team_key", "share"], "left").join(people, ["name_key", "share"], "left")
     return met.select("id", "scoped_key", "team_id", F.when(~C("relay"), C("athlete_id")).alias("athlete_id"), F.when(C("relay"), 4).otherwise(1).alias("n_participants"))
 
 
