@@ -128,8 +128,9 @@ def nested_feed(spark: SparkSession, d: str) -> DataFrame:
 def found_rows(spark: SparkSession, d: str) -> DataFrame:
     """Relay rows found at any depth of a payload; each line lies in it twice."""
     one = F.struct(F.col("l_partkey").alias("id"), F.array(F.lit("x")).alias("athletes"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("teamName"), F.col("l_quantity").alias("mark"), F.col("l_linenumber").alias("place"))
-    rows = F.collect_list(one)
-    body = F.to_json(F.struct(F.struct(F.array(F.struct(rows.alias("rows"))).alias("groups")).alias("page"), F.struct(rows.alias("again")).alias("other")))
+    # each line is written once, for both places
+    rows = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(one)), ","), F.lit("]"))
+    body = F.concat(F.lit('{"page":{"groups":[{"rows":'), rows, F.lit('}]},"other":{"again":'), rows, F.lit("}}"))
     payloads = table(spark, d, "lineitem").groupBy("l_orderkey").agg(body.alias("body"))
     found = documents.relay_rows(payloads, "body", "id BIGINT, teamName STRING, mark DOUBLE, place INT")
     return found.select("l_orderkey", F.col("row.id").alias("part"), F.col("row.teamName").alias("team"), F.col("row.mark").alias("mark"), F.col("row.place").alias("place"))

@@ -15,6 +15,9 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: The wrappers of a typed value and what they hold.
 NUMBERS, PLAIN = ("integerValue", "doubleValue"), ("stringValue", "booleanValue", "timestampValue", "referenceValue", "bytesValue")
+#: Fixed value: a text of fewer letters meets none of the JSON reader's limits (1,000 levels, 1,000 digits), so that no row takes others with it.
+ALONE = 1000
+NESTED = frozenset((dict, list))
 
 
 def _plain(value):
@@ -83,36 +86,53 @@ def joined_entries(events: DataFrame, entries: DataFrame, event_id: str, entry_e
 
 
 def _relay_rows(value, found: list) -> list:
-    """Every object with a list of athletes, a team and a mark or status, wherever it lies, outer ones first. A stack of its own, as payloads may be deep."""
+    """Every object with a list of athletes, a team and a mark or status, wherever it lies, outer ones first. A stack of its own, as payloads may be deep; of what an object or list holds, only objects and lists are put on it."""
     stack = [value]
     while stack:
         v = stack.pop()
-        if isinstance(v, list):
-            stack.extend(reversed(v))
-        elif isinstance(v, dict):
+        if type(v) is dict:
             if isinstance(v.get("athletes"), list) and (v.get("teamName") or v.get("teamsAbbr")) and (v.get("mark") is not None or v.get("status") is not None):
                 found.append(v)
-            stack.extend(reversed(list(v.values())))
+            v = v.values()
+        elif type(v) is not list:
+            continue
+        inner = [x for x in v if type(x) in NESTED]
+        inner.reverse()
+        stack += inner
     return found
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _walk(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _walk(text: Column, fields: Sequence[str]) -> Column:
+    """The relay rows of a payload, each once and with these fields only, as JSON arrays of up to eight. A row of its own where an array has `ALONE` letters or more."""
+    encode = json.JSONEncoder().encode
+
     def one(text):
         kept = {}
         for row in _relay_rows(_load(text), []):
             key = (str(row.get("id") or ""), str(row.get("teamName") or ""), str(row.get("mark") or row.get("status") or ""), str(row.get("place") or ""))
-            kept.setdefault(key, json.dumps(row))
-        return list(kept.values())
+            if key not in kept:
+                kept[key] = {k: row[k] for k in fields if k in row}
+        rows, out = list(kept.values()), []
+        for i in range(0, len(rows), 8):
+            some = encode(rows[i : i + 8])
+            out += [some] if len(some) < ALONE else [encode([row]) for row in rows[i : i + 8]]
+        return out
 
-    for batch in texts:
-        yield batch.map(one)
+    @F.pandas_udf(ArrayType(StringType()))
+    def arrays(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(one)
+
+    return arrays(text)
 
 
 def relay_rows(payloads: DataFrame, text: str, schema: StructType | str) -> DataFrame:
     """payloads, one row per relay row found in a payload of any shape, each once (id, team, mark or status, place), as struct row of schema."""
-    keep = [c for c in payloads.columns if c != text]
-    return payloads.select(*keep, F.explode(_walk(F.col(text))).alias("__row")).select(*keep, F.from_json("__row", schema).alias("row"))
+    keep, shape = [c for c in payloads.columns if c != text], StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrays = payloads.select(*keep, F.explode(_walk(F.col(text), shape.names)).alias("__rows"))
+    # outer: a row that can't be read is a row of nulls
+    rows = arrays.select(*keep, F.explode_outer(F.from_json("__rows", ArrayType(shape))).alias("row"))
+    return rows.withColumn("row", F.coalesce("row", F.from_json(F.lit("{}"), shape)))
 
 
 def record_set(rows: DataFrame, text: str, schema: str) -> DataFrame:
