@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import evidence, fuzzy
+from lapwing.operators import evidence, fuzzy, races
 from lapwing.plans import identities, relations
 from lapwing.sources import html
 
@@ -85,3 +85,22 @@ def test_cells_are_read_once(spark):
     assert df.collect() == [(1, "1.50m")] and df._jdf.queryExecution().optimizedPlan().toString().count("(?i)^(dns") == 1
     text = html.table_rows(pages)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "<thead" not in text[0]  # the heads lie below the generator of rows
+
+
+def test_results_go_once_to_a_block_of_partners(spark):
+    day = F.lit("2026-03-01").cast("date")
+    row = lambda meet, day: F.struct(meet.alias("meet"), day.alias("day"))
+    alone = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: row(F.concat(F.lit("m"), F.col("id") * 100 + k), day))
+    # athletes -20 to 43 in four stretches, each at ten meets of its own and, by turns, at one of two that they share, dated or not
+    shared = F.array(row(F.concat(F.lit("all "), (F.col("id") % 8 < 4).cast("string")), F.when(F.col("id") % 2 == 0, day)))
+    seen = spark.range(64).select(F.col("id") - 20, "id", F.inline(F.concat(alone, shared))).toDF("athlete", "place", "meet", "day")
+    results = seen.select(F.xxhash64("athlete", "meet").alias("id"), "athlete", "meet", "day", F.lit(None).cast("string").alias("round"), (F.col("place") + 1).alias("place"), F.lit(1).alias("mark"))
+    pairs = spark.range(64).select((F.col("id") - 20).alias("a")).crossJoin(spark.range(64).select((F.col("id") - 20).alias("b"))).where("a < b")
+    group = lambda x: ((x + 20) % 8 < 4, x % 2)
+    want = {(a, b, int(group(a) == group(b)), int(group(a) == group(b)), 0, 0) for a in range(-20, 44) for b in range(a + 1, 44)}
+    rows, most = most_joined(races.head_to_head(pairs, results))
+    # 704 results and 2,016 pairs: a result went to each of its 31.5 partners, 22,176 rows
+    assert {tuple(r) for r in rows} == want and most <= 704 * 4
+    mixed = races.head_to_head(pairs.select(F.col("a").cast("int"), F.col("b").cast("int")), results).collect()
+    words = races.head_to_head(pairs.select(F.col("a").cast("string"), F.col("b").cast("string")), results.withColumn("athlete", F.col("athlete").cast("string"))).collect()
+    assert {tuple(r) for r in mixed} == want and {(int(r.a), int(r.b), *r[2:]) for r in words} == want
