@@ -59,6 +59,44 @@ def test_match_people(spark):
     assert fuzzy.match_people(entries.limit(0), people).count() == 0 == fuzzy.match_people(entries, people.limit(0)).count()
 
 
+def test_match_people_misses_none(spark):
+    rng = random.Random(3)
+
+    def typo(s, most):
+        for _ in range(rng.randint(0, most)):
+            i = rng.randint(0, len(s))
+            s = rng.choice([s[:i] + rng.choice("ab c") + s[i:], s[:i] + s[i + 1 :], s[:i] + rng.choice("abc") + s[i + 1 :]])
+        return s
+
+    word = lambda least, most: "".join(rng.choice("abcde") for _ in range(rng.randint(least, most)))
+    bases = [(" ".join(word(2, 9) for _ in range(rng.randint(1, 3))), " ".join(word(1, 10) for _ in range(rng.randint(1, 2)))) for _ in range(12)]
+    of = lambda n: [(i, typo(x, 6), rng.choice([None, "", typo(y, 6), typo(y, 1), y[:3], " ".join(reversed(y.split(" ")))])) for i in range(n) for x, y in [rng.choice(bases)]]
+    entries, people = of(90), of(70)
+    plain = lambda s: " ".join("".join(c for c in (s or "") if c.isalpha() or c == " ").split())
+
+    def variants(k):
+        parts = k.split(" ")
+        return {k} if len(parts) < 2 else {k, " ".join([*parts[1:], parts[0]]), *([f"{parts[0]} {parts[-1]}"] if len(parts) > 2 else [])}
+
+    def like(a, b):
+        return 1.0 if a == b else 0.0 if not a or not b else 0.95 if variants(a) & variants(b) else 1 - edits(a, b) / max(len(a), len(b))
+
+    for accept in (0.75, 0.4, 0.9):
+        want = {}
+        for i, name, team in entries:
+            best = (0, 0, None)
+            for j, other, school in people:
+                sim, t, u = like(plain(name), plain(other)), plain(team), plain(school)
+                same = bool(school) and t != "" and u != "" and (t == u or t in u or u in t or like(t, u) > 0.7)
+                score = sim + 0.3 if same else sim - 0.2 if school else sim
+                if sim > 0.7 and score > 0:
+                    best = max(best, (score, -j, (j, sim, same, min(score, 1.0))), key=lambda x: x[:2])
+            if best[2] and best[2][3] > accept:
+                want[i] = best[2]
+        found = fuzzy.match_people(spark.createDataFrame(entries, "entry_id long, name string, team string"), spark.createDataFrame(people, "person_id long, full_name string, school string"), accept=accept).collect()
+        assert {r.entry_id: (r.person_id, r.name_similarity, r.team_matched, r.confidence) for r in found} == want and len(want) > 30
+
+
 def meet_points(a, b):
     x, y = set(a["tokens"]), set(b["tokens"])
     name = 0
