@@ -55,10 +55,15 @@ def null_safe_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(groups, (F.col("l_orderkey") == F.col("k")) & F.col("discount").eqNullSafe(F.col("dk"))).drop("k", "dk")
 
 
-def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Customers of equal sets of (day, priority, status) as classes, and what two classes share.
+#: Changes work, not results: customers with more keys than this meet others key by key, not by pairs of keys.
+MANY_KEYS = 64
 
-    members: member, rep (the least customer of the class), n_keys, n_members; pairs: a < b (representatives), n_shared >= 2.
+
+def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers of equal sets of (day, priority, status) as classes, and how classes meet: two that share two keys share a pair of keys, which few have, while many have each key.
+
+    members: member, rep (the least customer of the class), n_keys, n_members; paired: rep, k, l, a row for each two keys of a class (a key by its hash of 64 bits); listed: a < b (representatives), n_shared >= 2, where
+    one has more than MANY_KEYS keys.
     """
     key = ["day", "o_orderpriority", "o_orderstatus"]
     facts = _days(spark, d).select(F.col("o_custkey").alias("member"), *key).dropna().distinct()
@@ -66,14 +71,22 @@ def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sets = facts.groupBy("member").agg(F.count(F.lit(1)).alias("n_keys"), F.bit_xor(F.xxhash64(*key)).alias("x"), F.bit_xor(F.xxhash64(F.lit("b"), *key)).alias("y"))
     classes = sets.groupBy("n_keys", "x", "y").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n_members"))
     members = sets.join(classes, ["n_keys", "x", "y"]).select("member", "rep", "n_keys", "n_members")
-    shown = facts.join(classes.select(F.col("rep").alias("member")), "member", "left_semi")
-    pairs = shown.withColumnRenamed("member", "a").join(shown.withColumnRenamed("member", "b"), key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
-    return members, pairs
+    shown = facts.join(classes.where("n_keys > 1").select(F.col("rep").alias("member"), "n_keys"), "member").select(F.col("member").alias("rep"), F.xxhash64(*key).alias("k"), (F.col("n_keys") > MANY_KEYS).alias("many"))
+
+    # as many parts as a shuffle has, since each list becomes many rows
+    few = shown.where("NOT many").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").groupBy("rep").agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    paired = few.select("rep", "keys", F.posexplode("keys").alias("at", "k")).select("rep", "k", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("l"))
+    one, two = shown.where("many").select(F.col("rep").alias("one"), "k"), shown.select(F.col("rep").alias("two"), "k", "many")
+    met = one.join(two, "k").where("one < two OR one > two AND NOT many").groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    return members, paired, met.agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of customers that ordered alike on the same day at least twice: found between classes of customers that always ordered alike, then laid out for their members."""
-    members, pairs = _alike(spark, d)
+    members, paired, listed = _alike(spark, d)
+    pairs = paired.withColumnRenamed("rep", "a").join(paired.withColumnRenamed("rep", "b"), ["k", "l"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    # n shared keys are n * (n - 1) / 2 shared pairs
+    pairs = pairs.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("n_shared")).unionByName(listed)
     within = members.where("member = rep AND n_keys >= 2 AND n_members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n_keys").alias("n_shared"))
     side = lambda rep, name: members.select(F.col("rep").alias(rep), F.col("member").alias(name))
     met = pairs.unionByName(within).join(side("a", "one"), "a").join(side("b", "two"), "b").where("a < b OR one < two")
@@ -81,9 +94,11 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components over those pairs, found between classes; a class stands for its members, whose least one represents it."""
-    members, pairs = _alike(spark, d)
-    found = matching.components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    """Connected components over those pairs, found between classes; a class stands for its members, whose least one represents it. All classes that share a pair of keys are joined to the least of them."""
+    members, paired, listed = _alike(spark, d)
+    least = paired.groupBy("k", "l").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").drop("most")
+    stars = paired.withColumnRenamed("rep", "b").join(least, ["k", "l"]).where("a < b").select("a", "b").distinct()
+    found = matching.components(stars.unionByName(listed.select("a", "b"))).withColumnRenamed("node", "rep")
     met = members.join(found, "rep", "left").where("root IS NOT NULL OR n_keys >= 2 AND n_members > 1")
     return met.select(F.col("member").alias("node"), F.coalesce("root", "rep").alias("root"))
 

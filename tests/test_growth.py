@@ -89,6 +89,41 @@ def test_components_take_no_pairs_of_a_class(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in relations.overlap_components(spark, str(tmp_path)).collect()} == {(i, 0) for i in range(40)} and edges == [0]
 
 
+def mixed_orders(spark, path, customers, days):
+    """Orders of one priority and status: customer c on days c * c + 7 * i, with six of them for most and many for some; customers with and without equal sets."""
+    each = spark.range(customers).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 31 == 30, 80).otherwise(5))))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.floor(F.col("id") / 2) * F.floor(F.col("id") / 2) * 3 + F.col("i") * (7 + F.floor(F.col("id") / 2) % 5), F.lit(days)).cast("int"))
+    rows = each.select((F.col("id") * 100 + F.col("i")).alias("o_orderkey"), F.col("id").alias("o_custkey"), day.cast("timestamp").alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus"))
+    rows.write.parquet(f"{path}/orders.parquet")
+    sets = {}
+    for r in rows.collect():
+        sets.setdefault(r.o_custkey, set()).add(r.o_orderdate)
+    return sets
+
+
+def test_overlaps_miss_none(spark, tmp_path):
+    sets = mixed_orders(spark, tmp_path, 150, 300)
+    want = {(a, b, len(sets[a] & sets[b])) for b in sets for a in range(b) if len(sets[a] & sets[b]) >= 2}
+    assert max(map(len, sets.values())) > relations.MANY_KEYS and {n > 2 for _, _, n in want} == {True, False}
+    assert sorted(map(tuple, relations.overlap_pairs(spark, str(tmp_path)).collect())) == sorted(want)
+    root = {a: a for a in sets}
+    for _ in sets:
+        for a, b, _ in want:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b, _ in want for x in (a, b)}
+    assert {tuple(r) for r in relations.overlap_components(spark, str(tmp_path)).collect()} == {(x, root[x]) for x in linked}
+
+
+def test_overlaps_meet_by_two_keys(spark, tmp_path, monkeypatch):
+    # 300 customers share one day, and each has a day of its own: nobody shares two, where all met all
+    spark.range(600).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), F.date_add(F.lit("2024-01-01").cast("date"), F.when(F.col("id") % 2 == 1, F.col("id").cast("int")).otherwise(0)).cast("timestamp").alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows, most = most_joined(relations.overlap_pairs(spark, str(tmp_path)))
+    assert rows == [] and most <= 600
+    edges = []
+    monkeypatch.setattr(relations.matching, "components", lambda pairs: edges.append(most_joined(pairs)) or pairs.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    assert relations.overlap_components(spark, str(tmp_path)).collect() == [] and edges[0][0] == [] and edges[0][1] <= 600
+
+
 def test_cells_are_read_once(spark):
     pages = spark.createDataFrame([("<table><thead><tr><th>Pl</th></tr></thead><tr><td>1</td><td>a</td><td>b</td><td>c</td><td>1.50m</td></tr></table>",)], "html string")
     df = html.event_rows(pages).select("place", "mark_raw")
