@@ -9,8 +9,8 @@ from lapwing.plans import identities, relations
 from lapwing.sources import html
 
 
-def most_joined(df):
-    """Rows of df, and the most rows that one of its joins puts out."""
+def most_joined(df, kind="Join", metric="numOutputRows"):
+    """Rows of df, and the most rows that one of its joins puts out, or that one node of another kind has by its metric."""
     rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
@@ -19,8 +19,8 @@ def most_joined(df):
             todo.append(node.executedPlan())
         elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-        elif "Join" in name:
-            most = max(most, node.metrics().apply("numOutputRows").value())
+        elif kind in name:
+            most = max(most, node.metrics().apply(metric).value())
         todo.extend(node.children().apply(i) for i in range(node.children().size()))
     return rows, most
 
@@ -74,6 +74,14 @@ def test_common_words_of_meets_do_not_meet(spark):
     assert sorted(map(tuple, rows)) == [(i, i, 105) for i in range(200)] and most <= 1200
 
 
+def test_scores_of_meets_are_sent_on_not_pairs(spark):
+    d = F.lit("2026-03-01").cast("date")
+    side = lambda place: spark.range(150).select("id", F.lit("hill lake relays").alias("name"), F.concat(F.lit(place), F.col("id").cast("string"), F.lit("x")).alias("location"), d.alias("first"), F.lit(None).cast("date").alias("last"))
+    # every meet scores 105 with every other: 22,500 pairs
+    rows, most = most_joined(fuzzy.match_meets(side("ames "), side("reno ")), "ShuffleExchange", "shuffleRecordsWritten")
+    assert sorted(map(tuple, rows)) == [(i, 0, 105) for i in range(150)] and 150 <= most <= 6000
+
+
 def test_overlap_pairs_meet_by_classes(spark, tmp_path):
     day = F.to_timestamp(F.format_string("2024-01-0%d", F.col("id") % 2 + 1))
     spark.range(400).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 2).alias("o_custkey"), day.alias("o_orderdate"), F.lit("p").alias("o_orderpriority"), F.lit("s").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
