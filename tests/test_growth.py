@@ -58,14 +58,15 @@ def test_segments_stay_out_of_the_driver(spark):
     assert df.collect() == [("ann lee marie", "ann lee marie")] and "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_people_meet_by_team(spark):
-    # 120 names with the same last word, each of a team of its own: by segments of names, all of them met all
+def test_people_meet_by_team(spark, monkeypatch):
+    # 120 names with the same last word, each of a team of its own: pairs of names alone are asked for only where they are enough
     letters = lambda seed: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.char(F.pmod(F.xxhash64("id", k, F.lit(seed)), F.lit(26)) + 97)), "")
     side = spark.range(120).select("id", F.concat(letters(1), F.lit(" constantine")).alias("name"), letters(2).alias("team"))
     entries, people = side.select(F.col("id").alias("entry_id"), "name", "team"), side.select(F.col("id").alias("person_id"), F.regexp_replace("name", "constantine", "constantina").alias("full_name"), F.col("team").alias("school"))
-    found = fuzzy.match_people(entries, people)
-    rows, most = most_joined(found.select("entry_id", "person_id", "team_matched"))
-    assert sorted(map(tuple, rows)) == [(i, i, True) for i in range(120)] and most <= 1500
+    plain, asked = fuzzy.close_names, []
+    monkeypatch.setattr(fuzzy, "close_names", lambda left, right, above=0.7: asked.append((round(above, 6), left.count())) or plain(left, right, above))
+    rows, most = most_joined(fuzzy.match_people(entries, people).select("entry_id", "person_id", "team_matched"))
+    assert sorted(map(tuple, rows)) == [(i, i, True) for i in range(120)] and most <= 1500 and sorted(asked) == [(0.75, 0), (0.95, 120)]
 
 
 def test_common_words_of_meets_do_not_meet(spark):
