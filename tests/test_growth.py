@@ -64,7 +64,7 @@ def test_people_meet_by_team(spark, monkeypatch):
     side = spark.range(120).select("id", F.concat(letters(1), F.lit(" constantine")).alias("name"), letters(2).alias("team"))
     entries, people = side.select(F.col("id").alias("entry_id"), "name", "team"), side.select(F.col("id").alias("person_id"), F.regexp_replace("name", "constantine", "constantina").alias("full_name"), F.col("team").alias("school"))
     plain, asked = fuzzy.close_names, []
-    monkeypatch.setattr(fuzzy, "close_names", lambda left, right, above=0.7: asked.append((round(above, 6), left.count())) or plain(left, right, above))
+    monkeypatch.setattr(fuzzy, "close_names", lambda left, right, *above: asked.append((round([*above, 0.7][0], 6), left.count())) or plain(left, right, *above))
     rows, most = most_joined(fuzzy.match_people(entries, people).select("entry_id", "person_id", "team_matched"))
     assert sorted(map(tuple, rows)) == [(i, i, True) for i in range(120)] and most <= 1500 and sorted(asked) == [(0.75, 0), (0.95, 120)]
 
